@@ -45,17 +45,25 @@ def digest(canon: Column) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in two))
 
 
-def collided_digests(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """The digests that stand for more than one canonical text.
+def among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is in wanted (one column, checkpointed): by broadcast if it is small."""
+    side = wanted.select(F.col(wanted.columns[0]).alias("_wanted")).distinct()
+    side = F.broadcast(side) if wanted.count() <= BROADCAST_DIGESTS else side
+    return rows.join(side, F.col(column).eqNullSafe(F.col("_wanted")), "left_semi")
 
-    texts: (fp, canon), scanned anew; digests: (fp), the same rows, narrow.  Only digests that
-    occur twice can collide, so the narrow rows are counted first and only texts under such a
-    digest move, combined before the shuffle: copies of a text leave one row a task.
+
+def shared_digests(digests: DataFrame) -> DataFrame:
+    """The digests that occur more than once: only they can stand for two texts."""
+    return checkpointed(digests.groupBy("fp").count().filter("count > 1").select("fp"))
+
+
+def collided_digests(texts: DataFrame) -> DataFrame:
+    """The digests that stand for more than one canonical text, by comparing bytes within each.
+
+    texts: (fp, canon) under shared digests.  They are combined before the shuffle: copies of a
+    text leave one row a task.
     """
-    shared = checkpointed(digests.groupBy("fp").count().filter("count > 1").select("fp"))
-    n = shared.count()
-    side = F.broadcast(shared) if n <= BROADCAST_DIGESTS else shared
-    distinct = texts.join(side, "fp", "left_semi").groupBy("fp", "canon").agg(F.lit(1).alias("one"))
+    distinct = texts.groupBy("fp", "canon").agg(F.lit(1).alias("one"))
     return distinct.groupBy("fp").count().filter("count > 1").select("fp")
 
 
@@ -78,13 +86,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint) of every row; equal fingerprints mean equal canonical bytes."""
     base = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("canon"))
     rows = base.select(F.col(id_col), digest(F.col("canon")).alias("fp"), "canon")
-    collided = collided_digests(rows.select("fp", "canon"), rows.select("fp"))
+    collided = collided_digests(among(rows.select("fp", "canon"), shared_digests(rows.select("fp")), "fp"))
     named = rows.select(F.col(id_col), "fp", F.sha2(F.col("canon"), 256).alias("check"))
     return resolved(named, collided, ("fp", "check")).select(id_col, F.col("fp").alias("fingerprint"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the text of the row after it by doc_id, after the last the first.
+    """(doc_id, text, next_id, next_text): with the row after it by doc_id, after the last the first.
 
     doc_id is cut into even ranges.  Each range also gets a copy of the first row of the range
     after it, so one shuffle of the text and a window per range give every neighbour; no window
@@ -110,29 +118,38 @@ def with_next(docs: DataFrame) -> DataFrame:
         ), lambda x: x["cell"].isNotNull())).alias("at"),
     ).select("doc_id", "text", F.col("at.cell").alias("cell"), F.col("at.guest").alias("guest"))
     by = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return both.select("doc_id", "text", "guest", F.lead("text").over(by).alias("next_text")).filter("guest = 0").drop("guest")
+    return both.select("doc_id", "text", "guest", F.lead("doc_id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text")).filter("guest = 0").drop("guest")
 
 
-def neighbour_report(docs: DataFrame) -> DataFrame:
-    """The rows of ``op9_fingerprint``: each text's fingerprint, its edited text's, and likenesses."""
+def with_edit(docs: DataFrame) -> DataFrame:
+    """with_next, and the canonical forms and digests of each text and of its edited text."""
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.select(
-        "doc_id", "n_chars",
+        "doc_id", "next_id", "n_chars", "next_text", canonical(F.col("text")).alias("canon"),
         F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), k)).alias("edited"),
-        canonical(F.col("text")).alias("canon"), "next_text",
     ).withColumn("edited_canon", canonical(F.col("edited")))
-    rows = rows.withColumn("fp", digest(F.col("canon"))).withColumn("efp", digest(F.col("edited_canon")))
-    following = canonical(F.col("next_text"))
+    return rows.withColumn("fp", digest(F.col("canon"))).withColumn("efp", digest(F.col("edited_canon")))
+
+
+def neighbour_report(docs: DataFrame) -> DataFrame:
+    """The rows of ``op9_fingerprint``: each text's fingerprint, its edited text's, and likenesses."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = with_edit(docs)
     narrow = checkpointed(rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp",
+        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp",
         F.sha2("canon", 256).alias("check"), F.sha2("edited_canon", 256).alias("echeck"),
         F.when((F.col("fp") == F.col("efp")) & (F.col("canon") == F.col("edited_canon")), 1.0).otherwise(0.0).alias("near_edited"),
-        F.when(F.col("canon") == following, 1.0).otherwise(0.0).alias("near_next"),
+        F.when(F.col("canon") == canonical(F.col("next_text")), 1.0).otherwise(0.0).alias("near_next"),
     ))
-    texts = rows.select(F.inline(F.array(F.struct("fp", "canon"), F.struct(F.col("efp").alias("fp"), F.col("edited_canon").alias("canon")))))
-    digests = narrow.select(F.explode(F.array("fp", "efp")).alias("fp"))
-    named = resolved(narrow, collided_digests(texts, digests), ("fp", "check"), ("efp", "echeck"))
+    shared = shared_digests(narrow.select(F.explode(F.array("fp", "efp")).alias("fp")))
+    own = among(docs.select(canonical(F.col("text")).alias("canon")).withColumn("fp", digest(F.col("canon"))), shared, "fp").select("fp", "canon")
+    # Edited texts are made anew for those rows alone whose edited digest is shared; a row's neighbour
+    # comes along, so it is still the next one among the rows that are left.
+    again = checkpointed(among(narrow, shared, "efp").select("doc_id", "next_id"))
+    few = among(docs, checkpointed(again.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()), "doc_id")
+    edited = among(among(with_edit(few), again.select("doc_id"), "doc_id"), shared, "efp").select(F.col("efp").alias("fp"), F.col("edited_canon").alias("canon"))
+    named = resolved(narrow, collided_digests(own.unionByName(edited)), ("fp", "check"), ("efp", "echeck"))
     return named.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
