@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op9_fingerprint
+from .langid import op2_language_id
 from .mixing import OP10_SQL, op10_mixing
+from .quality import op8_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "op8_quality": op8_quality,
         "op9_fingerprint": op9_fingerprint,
         "op10_mixing": op10_mixing,
     }
