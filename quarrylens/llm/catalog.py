@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprint import op9_fingerprint
 from .langid import op2_language_id
 from .mixing import OP10_SQL, op10_mixing
+from .neardup import op1_near_dedup
+from .packing import op7_packing
 from .quality import op8_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_language_id": op2_language_id,
+        "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_fingerprint": op9_fingerprint,
         "op10_mixing": op10_mixing,

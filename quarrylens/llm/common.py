@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 
@@ -59,3 +63,28 @@ def bounded_sample(df: DataFrame, key: str, per_key: int, order: Column) -> Data
         share = min(1.0, per_key / n)
         keep = keep | (F.col(key).eqNullSafe(F.lit(value)) & (F.pmod(order, F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)))
     return df.filter(keep)
+
+
+def mapped_texts(docs: DataFrame, keep: list[str], text_col: str, added: list[tuple[str, T.DataType]], value: Callable[[list[str | None]], list[list]]) -> DataFrame:
+    """The kept columns of every row with columns made from its whole text in Python workers.
+
+    value: texts of one batch -> one list a column of added.  Input columns travel under names of
+    our own, so none can clash with the added ones; an added column replaces a kept namesake.
+    """
+    small_batches(docs.sparkSession)
+    names = [n for n, _ in added]
+    keep = [c for c in keep if c not in names]
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), *([] if text_col in keep else [F.col(f"`{text_col}`").alias("_text")]))
+    at, width = keep.index(text_col) if text_col in keep else len(keep), len(keep)
+    schema = T.StructType(plain.schema.fields[:width])
+    for name, kind in added:
+        schema = schema.add(name, kind)
+    kinds = [to_arrow_type(kind) for _, kind in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = value(b.column(at).to_pylist())
+            columns = [b.column(i) for i in range(width)] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return plain.mapInArrow(run, schema).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})

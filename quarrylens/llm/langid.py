@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, small_batches, table
+from .common import bounded_sample, fold, mapped_texts, table
 from .text import code_points, letter_table
 
 #: Training rows a language, at most about: a bound on what the driver holds.
@@ -154,22 +154,13 @@ def fit_on(labelled: DataFrame) -> LanguageModel:
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns of every row with lang_pred, score and rejected."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text"))
-    schema = plain.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            found = m.predict(b.column(b.num_columns - 1).to_pylist())
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            cols += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
-
-    out = plain.mapInArrow(run, schema)
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "rejected")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def value(texts: list[str | None]) -> list[list]:
+        found = shared.value.predict(texts)
+        return [[f[i] for f in found] for i in range(3)]
+
+    return mapped_texts(docs, keep, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], value)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
