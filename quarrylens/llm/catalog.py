@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op4_ann
 from .fingerprint import op9_fingerprint
 from .langid import op2_language_id
+from .lm import OP5_SQL, op5_lm_score
 from .mixing import OP10_SQL, op10_mixing
 from .neardup import op1_near_dedup
 from .packing import op7_packing
 from .quality import op8_quality
+from .tokencount import op6_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_language_id": op2_language_id,
+        "op4_ann": op4_ann,
+        "op5_lm_score": op5_lm_score,
+        "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_fingerprint": op9_fingerprint,
@@ -26,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op5_lm_score": OP5_SQL, "op10_mixing": OP10_SQL}
