@@ -13,9 +13,13 @@ components, which keeps its earliest.  The chance that two components agree is t
 
 Rows of one class of equal shingle multisets are folded into one first, so copies cost nothing.
 Texts that share a band are candidates: in each bucket all members are checked against one hub,
-the member that shares most buckets; then, in the few buckets that still hold several components,
-again against a second hub, and what is left against each other.  Every link comes from comparing
-the two multisets.
+the member that shares most buckets.  In the buckets that still hold several components, members
+outside the hub's are compared with all others: pair by pair in small buckets, block by block in
+large ones, where only pairs whose signatures promise a link leave the block, so a large group
+whose members differ by more than the threshold makes no quadratic number of rows.  Pairs whose
+signatures agree in less than PROMISING are not verified (at a similarity of 0.8 that has a
+chance of 4 in 100,000, no more than sharing no band has).  Every link comes from comparing the
+two multisets.
 
 Defined results: a null text, or one without a word, is in no link and a class of its own; a text
 of one to four words has one shingle of all its words; rows with the same doc_id are one document,
@@ -39,6 +43,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 26, 5
 COMPONENTS = BANDS * BAND_ROWS
+#: Share of agreeing components below which a pair is not verified.
+PROMISING = 0.66
+#: Buckets of more members are compared in blocks.
+SMALL_BUCKET, BLOCK = 24, 1024
 #: Up to this many narrow rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -101,7 +109,10 @@ def bag_digests(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, bands) of every text; digest and bands are null without a word."""
+    """(doc_id, digest, bands, sig) of every text; the last three are null without a word.
+
+    sig: one byte a component, enough to estimate similarities.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +121,15 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 64)
                 doc, sh, n = shingles(part.column(1).to_pylist(), SHINGLE_WORDS)
                 digest = bag_digests(doc, sh, n, part.num_rows)
-                keys = band_keys(bag_signatures(doc, sh, n, part.num_rows))
+                signatures = bag_signatures(doc, sh, n, part.num_rows)
+                keys = band_keys(signatures)
+                small = (mix(signatures.view(_U)) >> _U(17)).astype(np.uint8)
+                sig = [x.tobytes() if g else None for x, g in zip(small, digest, strict=True)]
                 bands = [k.tolist() if g else None for k, g in zip(keys, digest, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "digest", "bands", "sig"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return plain.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -172,49 +186,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, score, class) of the buckets that hold more than one component."""
+def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those (a, b) whose signatures agree often enough; sigs: (id, sig)."""
+    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keep = pa.array((_bytes(b.column(2)) == _bytes(b.column(3))).mean(1) >= PROMISING)
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(queries: pa.Table, members: pa.Table) -> pa.Table:
+    """Promising pairs across components within one block of a bucket."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not queries.num_rows or not members.num_rows:
+        return schema.empty_table()
+    q, v = _bytes(queries.column("sig")), _bytes(members.column("sig"))
+    qc, vc = queries.column("class").to_numpy(), members.column("class").to_numpy()
+    qi, vi = queries.column("id").to_numpy(), members.column("id").to_numpy()
+    a, b = [], []
+    for at in range(0, len(q), 32):
+        agree = (q[at : at + 32, None] == v[None]).mean(2) >= PROMISING
+        i, j = np.nonzero(agree & (qc[at : at + 32, None] != vc[None]))
+        a.append(qi[at + i])
+        b.append(vi[j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+
+
+def remaining_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Promising pairs (a < b) of different components that share a bucket.
+
+    members: (key, id, score, n), n being the bucket's size; labels: (id, class).
+    """
     known = members.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    return known.join(mixed, "key")
+    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"))
+    open_ = checkpointed(known.join(mixed.filter("lo <> hi").select("key", "main"), "key"))
+    few = open_.filter(F.col("n") <= SMALL_BUCKET)
+    other = few.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
+    small = few.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    many = open_.filter(F.col("n") > SMALL_BUCKET).join(sigs, "id")
+    small_batches(members.sparkSession)
+    # As many blocks as a bucket needs on either side; ids are dealt to them by a hash.
+    queries = many.filter("class <> main")
+    sizes = queries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
+    many, queries = (x.join(sizes, "key").withColumn("vb", F.ceil(F.col("n") / BLOCK).cast("int")) for x in (many, queries))
+    spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}
+    queries = queries.select("key", "id", "class", "sig", spread["qb"].alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"))
+    many = many.select("key", "id", "class", "sig", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), spread["vb"].alias("v"))
+    queries = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
+    large = queries.groupBy("key", "q", "v").cogroup(many.groupBy("key", "q", "v")).applyInArrow(_block_pairs, "a long, b long")
+    return promising(small, sigs).unionByName(large).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the smallest doc_id of its class."""
     rows = checkpointed(signature_rows(docs))
     known = rows.filter("digest is not null and doc_id is not null")
-    folded = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    folded = checkpointed(folded)
+    folded = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("id")))
     reps = known.join(folded.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = buckets.join(sizes, "key")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    members = checkpointed(members.join(score, "id").select("key", "id", "score"))
+    members = checkpointed(members.join(score, "id").select("key", "id", "score", "n"))
+    sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("b"))
-    tried = checkpointed(members.join(hub, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    tried = members.join(hub, "key").filter("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    tried = checkpointed(promising(tried, sigs))
     links = checkpointed(verified(tried, docs))
     labels = components(links)
-
-    open_ = checkpointed(_open_buckets(members, labels))
-    if not open_.isEmpty():
-        # A second hub, outside the first one's component, against all members of other components.
-        top = open_.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "class")).alias("top")).select("key", F.col("top.class").alias("first"))
-        rest = open_.join(top, "key").filter("class <> first")
-        second = rest.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "class")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.class").alias("own"))
-        pairs = open_.join(second, "key").filter("class <> own").select(F.col("id").alias("a"), "b").distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(checkpointed(verified(pairs, docs)))
-        labels = components(links)
-        # What still shares a bucket across components, pair by pair: no link is left out.
-        open_ = checkpointed(_open_buckets(members, labels))
-        other = open_.select("key", F.col("id").alias("b"), F.col("class").alias("other"))
-        pairs = open_.join(other, "key").filter("class < other").select("id", "b").toDF("a", "b").distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            labels = components(links.unionByName(checkpointed(verified(pairs, docs))))
+    pairs = checkpointed(remaining_pairs(members, labels, sigs).join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        labels = components(links.unionByName(checkpointed(verified(pairs, docs))))
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     # A repeated doc_id may stand for several texts: they are one document.

@@ -153,9 +153,9 @@ def _windows(h: np.ndarray, d: np.ndarray, width: int, n_texts: int) -> np.ndarr
         out.append((d[:n][inside].astype(U64) << U64(56)) | (total[inside] >> U64(8)))
     words = np.bincount(d, minlength=n_texts)
     for text in np.flatnonzero((words > 0) & (words < width)):
-        whole = U64(0)
         own = h[np.searchsorted(d, text) : np.searchsorted(d, text, side="right")]
-        for x in own:
-            whole = mix(np.asarray([whole + x], dtype=U64))[0]
-        out.append(np.asarray([(U64(text) << U64(56)) | (mix(np.asarray([whole + U64(len(own))], dtype=U64))[0] >> U64(8))], dtype=U64))
+        whole = np.full(1, len(own), dtype=U64)
+        for j in range(len(own)):
+            whole = mix(whole + own[j : j + 1])
+        out.append((U64(text) << U64(56)) | (whole >> U64(8)))
     return np.concatenate(out) if out else np.empty(0, dtype=U64)
