@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op4_ann
 from .fingerprint import op9_fingerprint
+from .html_main import op3_html_text
 from .langid import op2_language_id
 from .lm import OP5_SQL, op5_lm_score
 from .mixing import OP10_SQL, op10_mixing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_language_id": op2_language_id,
+        "op3_html_text": op3_html_text,
         "op4_ann": op4_ann,
         "op5_lm_score": op5_lm_score,
         "op6_token_counts": op6_token_counts,
