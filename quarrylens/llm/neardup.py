@@ -14,8 +14,9 @@ components, which keeps its earliest.  The chance that two components agree is t
 Rows of one class of equal shingle multisets are folded into one first, so copies cost nothing.
 Texts that share a band are candidates: in each bucket all members are checked against one hub,
 the member that shares most buckets.  In the buckets that still hold several components, members
-outside the hub's are compared with all others: pair by pair in small buckets, block by block in
-large ones, where only pairs whose signatures promise a link leave the block, so a large group
+outside the hub's are compared with all others: pair by pair in small buckets; in large ones each
+with its few best partners by signature, and what is left after that block by block, where texts
+are compared within the block and only links that join components leave it.  So a large group
 whose members differ by more than the threshold makes no quadratic number of rows.  Pairs whose
 signatures agree in less than PROMISING are not verified (at a similarity of 0.8 that has a
 chance of 4 in 100,000, no more than sharing no band has).  Every link comes from comparing the
@@ -47,6 +48,8 @@ COMPONENTS = BANDS * BAND_ROWS
 PROMISING = 0.66
 #: Buckets of more members are compared in blocks.
 SMALL_BUCKET, BLOCK = 24, 1024
+#: Pairs a member of a large bucket is verified for before what is left is compared block by block.
+BEST = 3
 #: Up to this many narrow rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -132,6 +135,12 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary")
 
 
+def text_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The multiset of a text's shingles: sorted values and counts."""
+    _, values, counts = shingles([text], SHINGLE_WORDS)
+    return values, counts
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets given as (sorted values, counts)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -150,18 +159,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-        _, sh, n = shingles([text], SHINGLE_WORDS)
-        return sh, n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_bag = None, None
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if tb != last_text:
-                    last_text, last_bag = tb, bag(tb)
-                keep.append(similarity(bag(ta), last_bag) >= SIMILARITY)
+                    last_text, last_bag = tb, text_bag(tb)
+                keep.append(similarity(text_bag(ta), last_bag) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long").distinct()
@@ -203,47 +208,111 @@ def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(queries: pa.Table, members: pa.Table) -> pa.Table:
-    """Promising pairs across components within one block of a bucket."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    if not queries.num_rows or not members.num_rows:
-        return schema.empty_table()
+def _agreement(queries: pa.Table, members: pa.Table):
+    """Row by row of the queries: the members of other components that promise a link, the best first."""
     q, v = _bytes(queries.column("sig")), _bytes(members.column("sig"))
     qc, vc = queries.column("class").to_numpy(), members.column("class").to_numpy()
+    for at in range(0, len(q), 32):
+        share = (q[at : at + 32, None] == v[None]).mean(2)
+        share[qc[at : at + 32, None] == vc[None]] = 0
+        for i in range(len(share)):
+            found = np.flatnonzero(share[i] >= PROMISING)
+            yield at + i, found[np.argsort(-share[i, found], kind="stable")]
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.Table:
+    x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    return pa.table([np.minimum(x, y), np.maximum(x, y)], schema=_PAIR)
+
+
+def _best_pairs(queries: pa.Table, members: pa.Table) -> pa.Table:
+    """Each query of a block with its best few members of other components."""
+    if not queries.num_rows or not members.num_rows:
+        return _PAIR.empty_table()
     qi, vi = queries.column("id").to_numpy(), members.column("id").to_numpy()
     a, b = [], []
-    for at in range(0, len(q), 32):
-        agree = (q[at : at + 32, None] == v[None]).mean(2) >= PROMISING
-        i, j = np.nonzero(agree & (qc[at : at + 32, None] != vc[None]))
-        a.append(qi[at + i])
-        b.append(vi[j])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+    for i, found in _agreement(queries, members):
+        b += vi[found[:BEST]].tolist()
+        a += [int(qi[i])] * len(found[:BEST])
+    return _pairs(a, b)
+
+
+def _block_links(queries: pa.Table, members: pa.Table) -> pa.Table:
+    """Links between a block's queries and members, verified on their texts, as many as join components.
+
+    A pair is left out only if its components are joined already.
+    """
+    if not queries.num_rows or not members.num_rows:
+        return _PAIR.empty_table()
+    qi, vi = queries.column("id").to_numpy(), members.column("id").to_numpy()
+    qc, vc = queries.column("class").to_pylist(), members.column("class").to_pylist()
+    texts = {"q": queries.column("text"), "v": members.column("text")}
+    bags: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    joined: dict[int, int] = {}
+
+    def bag_of(side: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if (side, i) not in bags:
+            bags[side, i] = text_bag(texts[side][i].as_py())
+        return bags[side, i]
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    a, b = [], []
+    for i, found in _agreement(queries, members):
+        for j in found.tolist():
+            x, y = root(qc[i]), root(vc[j])
+            if x != y and similarity(bag_of("q", i), bag_of("v", j)) >= SIMILARITY:
+                joined[x] = y
+                a.append(int(qi[i]))
+                b.append(int(vi[j]))
+    return _pairs(a, b)
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Promising pairs (a < b) of different components that share a bucket.
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, id, score, n) with class and main, of the buckets that hold several components.
 
-    members: (key, id, score, n), n being the bucket's size; labels: (id, class).
+    main: the class of the bucket's best-connected member.
     """
     known = members.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
     mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"))
-    open_ = checkpointed(known.join(mixed.filter("lo <> hi").select("key", "main"), "key"))
-    few = open_.filter(F.col("n") <= SMALL_BUCKET)
-    other = few.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
-    small = few.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    many = open_.filter(F.col("n") > SMALL_BUCKET).join(sigs, "id")
-    small_batches(members.sparkSession)
-    # As many blocks as a bucket needs on either side; ids are dealt to them by a hash.
+    return known.join(mixed.filter("lo <> hi").select("key", "main"), "key")
+
+
+def _by_blocks(open_: DataFrame, columns: list[str], f, side: DataFrame) -> DataFrame:
+    """f over every pair of blocks of each large bucket: members outside the main class against all."""
+    many = open_.filter(F.col("n") > SMALL_BUCKET).join(side, "id")
+    small_batches(open_.sparkSession)
     queries = many.filter("class <> main")
     sizes = queries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
     many, queries = (x.join(sizes, "key").withColumn("vb", F.ceil(F.col("n") / BLOCK).cast("int")) for x in (many, queries))
-    spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}
-    queries = queries.select("key", "id", "class", "sig", spread["qb"].alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"))
-    many = many.select("key", "id", "class", "sig", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), spread["vb"].alias("v"))
+    spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}  # ids are dealt to blocks by a hash
+    queries = queries.select("key", *columns, spread["qb"].alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"))
+    many = many.select("key", *columns, F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), spread["vb"].alias("v"))
     queries = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
-    large = queries.groupBy("key", "q", "v").cogroup(many.groupBy("key", "q", "v")).applyInArrow(_block_pairs, "a long, b long")
-    return promising(small, sigs).unionByName(large).distinct()
+    return queries.groupBy("key", "q", "v").cogroup(many.groupBy("key", "q", "v")).applyInArrow(f, "a long, b long").distinct()
+
+
+def remaining_pairs(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Promising pairs (a < b) across components: all of small buckets, each member's best of large ones."""
+    few = open_.filter(F.col("n") <= SMALL_BUCKET)
+    other = few.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
+    small = few.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return promising(small, sigs).unionByName(_by_blocks(open_, ["id", "class", "sig"], _best_pairs, sigs)).distinct()
+
+
+def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a < b) that join the components left in large buckets."""
+    large = open_.filter(F.col("n") > SMALL_BUCKET)
+    ids = checkpointed(large.select("id").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few, "id", "left_semi").dropDuplicates(["id"])
+    return _by_blocks(large, ["id", "class", "sig", "text"], _block_links, sigs.join(texts, "id"))
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -264,9 +333,14 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     tried = checkpointed(promising(tried, sigs))
     links = checkpointed(verified(tried, docs))
     labels = components(links)
-    pairs = checkpointed(remaining_pairs(members, labels, sigs).join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        labels = components(links.unionByName(checkpointed(verified(pairs, docs))))
+    open_ = checkpointed(_open_buckets(members, labels))
+    if not open_.isEmpty():
+        pairs = checkpointed(remaining_pairs(open_, sigs).join(tried, ["a", "b"], "left_anti"))
+        links = checkpointed(links.unionByName(verified(pairs, docs)))
+        labels = components(links)
+        open_ = checkpointed(_open_buckets(members.filter(F.col("n") > SMALL_BUCKET), labels))
+        if not open_.isEmpty():
+            labels = components(links.unionByName(block_links(open_, sigs, docs)))
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     # A repeated doc_id may stand for several texts: they are one document.
