@@ -62,7 +62,7 @@ from {{customer}}""",
 select case o_orderkey % 8 when 0 then 'prefetch' when 1 then 'amcache' when 2 then 'shimcache' when 3 then 'bam' when 4 then 'userassist' when 5 then 'srum_app' when 6 then 'srum_net' else 'amcache_driver' end as source,
   case when o_orderkey % 40 = 7 then {_path('o_orderkey', 'o_custkey')} when o_orderkey % 3 = 0 then concat('D:', chr(92), 'Tools', chr(92), 'APP', cast(o_custkey as varchar(20)), '.exe')
     when o_orderkey % 3 = 1 then concat('app', cast(o_custkey as varchar(20)), '.exe') else concat('C:', chr(92), 'x', chr(92), 'pub', cast(o_custkey as varchar(20)), '.exe') end as path,
-  case when o_orderkey % 9 = 0 then null else timestamp '2024-02-02 00:00:00' - interval '1' hour * (o_orderkey % 2000) end as first_run, cast(null as timestamp) as last_run, cast(o_orderkey % 50 as bigint) as run_count,
+  case when o_orderkey % 9 = 0 then null else timestamp '2024-02-02 00:00:00' - interval '1' hour * (case when o_orderkey % 40 = 7 then o_orderkey % 300 else o_orderkey % 2000 end) end as first_run, cast(null as timestamp) as last_run, cast(o_orderkey % 50 as bigint) as run_count,
   case when o_orderkey % 6 = 0 then null else lpad(cast(o_custkey % 100 as varchar(20)), 40, '0') end as sha1, cast(null as varchar(20)) as user_sid, true as execution_confirmed, o_orderkey as _ord
 from {{orders}}""",
     "file_meta": """

@@ -33,7 +33,8 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query
         if sql is not None:
             ctes = ", ".join(f"{k} AS ({adapters.oracle(k)})" for k in views.split())
             body = sql.strip()
-            SQL[name] = (f"WITH {ctes}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}" if ctes else body)
+            start = next((k for k in ("WITH RECURSIVE ", "WITH ") if body.startswith(k)), "")
+            SQL[name] = f"{start or 'WITH '}{ctes}{', ' * bool(start) or ' '}{body[len(start):]}" if ctes else body
         return f
 
     return add
@@ -164,7 +165,8 @@ def _(s, d):
 # ---- persistence ----------------------------------------------------------------------------
 
 _P = "coalesce(binary_path, '')"
-_INV = f"lower({_base(r'''trim(coalesce(binary_path, regexp_extract(trim(trim(trim(command)), '\"'), '^\\S+')), '\"')''')})"
+_FIRST = r"""regexp_extract(trim(trim(trim(command)), '"'), '^\S+')"""
+_INV = f"lower({_base(f"""trim(coalesce(binary_path, {_FIRST}), '"')""")})"
 _NORM = r"regexp_replace(regexp_replace(lower(trim(command)), ',$', ''), '^%(systemroot|windir)%', 'c:\\windows')"
 _WRITABLE = _has(f"lower({_P})", t.USER_WRITABLE_DIRS)
 _SYSTEM = rf"(starts_with(substr(lower({_P}), 2), ':\windows\') OR starts_with(substr(lower({_P}), 2), ':\program files'))"
@@ -391,15 +393,15 @@ def _(s, d):
     return rows.select("o_orderkey", t.service_path(raw).alias("path"))
 
 
-@query("binary_path_candidates", "", "WITH x AS (SELECT p_partkey, string_split(trim(p_name), ' ') AS w, p_partkey % 4 = 0 AS q, p_name FROM part) SELECT p_partkey, CASE WHEN q THEN p_name ELSE array_to_string(list_transform(range(len(w), 0, -1), n -> array_to_string(w[1:n], ' ')), '|') END AS candidates FROM x")
+@query("binary_path_candidates", "", "WITH x AS (SELECT p_partkey, string_split(trim(p_name), ' ') AS w, p_partkey % 4 = 0 AS q, p_name FROM part) SELECT p_partkey, CASE WHEN q THEN p_name ELSE array_to_string(list_transform(range(len(w), 0, -1), lambda n: array_to_string(w[1:n], ' ')), '|') END AS candidates FROM x")
 def _(s, d):
     rows = s.read.parquet(f"{d}/part.parquet")
     line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('"'), F.col("p_name"), F.lit('" -run'))).otherwise(F.col("p_name"))
     return rows.select("p_partkey", F.array_join(t.path_candidates(line), "|").alias("candidates"))
 
 
-@query("mft_paths_recursive", "mft", r"""WITH RECURSIVE r AS (SELECT rec, name AS path, parent AS at, [rec] AS seen, 1 AS n FROM mft WHERE rec <> 5 UNION ALL SELECT r.rec, m.name || '\' || r.path, m.parent, list_append(seen, m.rec), n + 1 FROM r JOIN mft m ON m.rec = r.at WHERE r.at <> 5 AND NOT list_contains(seen, m.rec) AND n < 255)
-SELECT rec, 'C:\' || max_by(path, n) AS path, bool_or(at = 5) AS complete FROM r GROUP BY rec""")
+@query("mft_paths_recursive", "mft", r"""WITH RECURSIVE r AS (SELECT rec, name AS path, parent AS goes, [rec] AS seen, 1 AS n FROM mft WHERE rec <> 5 UNION ALL SELECT r.rec, m.name || '\' || r.path, m.parent, list_append(seen, m.rec), n + 1 FROM r JOIN mft m ON m.rec = r.goes WHERE r.goes <> 5 AND NOT list_contains(seen, m.rec) AND n < 255)
+SELECT rec, 'C:\' || max_by(path, n) AS path, bool_or(goes = 5) AS complete FROM r GROUP BY rec""")
 def _(s, d):
     return joins.mft_paths(adapters.view(s, d, "mft"))
 
@@ -443,7 +445,7 @@ def _(s, d):
     return panels.by_severity(a.parentchild(adapters.tables(s, d), None, PARAMS, s))
 
 
-@query("repeat_basenames", "file_meta", f"WITH x AS (SELECT DISTINCT path, {_base('path')} AS b FROM file_meta WHERE epoch_us(fn_btime) - epoch_us(si_btime) > 86400000000 OR epoch_us(fn_mtime) - epoch_us(si_mtime) > 86400000000) SELECT b AS name, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 2")
+@query("repeat_basenames", "file_meta", f"WITH x AS (SELECT path, {_base('path')} AS b FROM file_meta WHERE epoch_us(fn_btime) - epoch_us(si_btime) > 86400000000 OR epoch_us(fn_mtime) - epoch_us(si_mtime) > 86400000000) SELECT b AS name, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 2")
 def _(s, d):
     return panels.repeated_names(a.timestomp(adapters.tables(s, d), None, PARAMS, s))
 

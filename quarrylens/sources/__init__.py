@@ -1 +1 @@
-"""Sources of the triage engine."""
+"""Readers of exported artifacts: every one returns a record table with its ingest ordinal."""
