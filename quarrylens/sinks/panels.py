@@ -65,7 +65,7 @@ def downloads_panel(files: DataFrame) -> DataFrame:
 
 
 def by_category(observations: DataFrame) -> DataFrame:
-    return observations.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("title")).alias("titles")).orderBy("category")
+    return observations.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy("category")
 
 
 def top_alerts(findings: DataFrame, n: int = 5) -> DataFrame:

@@ -46,7 +46,7 @@ def render(findings: DataFrame, observations: DataFrame, tables: dict[str, DataF
     ):
         if kind in tables:
             parts.append(_table(label, f(tables[kind]).select(*columns)))
-    inventory = "".join(f"<details><summary>{html.escape(r['category'])} ({r['n']})</summary><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in r["titles"][:LISTED]) + "</ul></details>" for r in panels.by_category(observations).collect())
+    inventory = "".join(_table(f"{r['category']} ({r['n']})", observations.filter(F.col("category") == r["category"]).select("title", "path", "details").orderBy("title")) for r in panels.by_category(observations).collect())
     options = "".join(f"<option>{html.escape(x)}</option>" for x in artifacts)
     return _PAGE.format(title=html.escape(title), cls="high" if bad else "", verdict=verdict, options=options, panels="".join(parts), findings=rows, inventory=inventory)
 
