@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -41,6 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished, checkpointed steps now.
+
+    Its cleaner acts when the driver collects garbage, which in a long operator may be never.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id written as text: what the train and held-out folds are cut by."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

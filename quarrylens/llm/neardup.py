@@ -30,14 +30,15 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, release, small_batches, table
 from .text import mix, shingles
 
 SHINGLE_WORDS = 5
@@ -114,7 +115,7 @@ def bag_digests(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 def signature_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, bands, sig) of every text; the last three are null without a word.
 
-    sig: one byte a component, enough to estimate similarities.
+    sig: one byte a component, enough to estimate similarities, and then the band keys.
     """
     small_batches(docs.sparkSession)
 
@@ -127,7 +128,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 signatures = bag_signatures(doc, sh, n, part.num_rows)
                 keys = band_keys(signatures)
                 small = (mix(signatures.view(_U)) >> _U(17)).astype(np.uint8)
-                sig = [x.tobytes() if g else None for x, g in zip(small, digest, strict=True)]
+                sig = [x.tobytes() + k.tobytes() if g else None for x, k, g in zip(small, keys, digest, strict=True)]
                 bands = [k.tolist() if g else None for k, g in zip(keys, digest, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "digest", "bands", "sig"])
 
@@ -142,10 +143,13 @@ def text_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets given as (sorted values, counts)."""
+    """Weighted Jaccard similarity of two multisets given as (sorted values, counts); 0 if their sizes alone rule out a link."""
+    n, m = int(a[1].sum()), int(b[1].sum())
+    if min(n, m) < SIMILARITY * max(n, m):
+        return 0.0  # as far as anybody asks
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = int(np.minimum(a[1][i], b[1][j]).sum())
-    every = int(a[1].sum()) + int(b[1].sum()) - both
+    every = n + m - both
     return both / every if every else 0.0
 
 
@@ -153,11 +157,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, by comparing their shingle multisets."""
     small_batches(docs.sparkSession)
     pairs = pairs.select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(few, "doc_id", "left_semi")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    hubs = pairs.select(F.col("b").alias("id")).distinct()
+    if pairs.count() <= BROADCAST_ROWS:  # narrow rows: then texts meet their pairs where they are read
+        pairs, hubs = F.broadcast(pairs), F.broadcast(hubs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
+    left = texts.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
+    right = texts.join(hubs, "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    joined = left.join(right, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_bag = None, None
@@ -175,16 +181,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the smallest id that each id of the edges (a, b) is connected with.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so
-    the number of rounds is logarithmic in a component's width; labels stay distributed.
+    Each round takes the smallest label among an id's neighbours and itself and then the label of
+    that label, so the number of rounds is logarithmic in a component's width.  Labels stay
+    distributed; where they are few they are broadcast, and a round is one combined aggregate.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("class")))
+    pairs = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", F.col("a"))).union(edges.select("b", F.col("b"))).toDF("a", "b")
+    both = checkpointed(pairs.distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")))
+    few = labels.count() <= BROADCAST_ROWS
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        jump = labels.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        new = checkpointed(step.join(jump, "class", "left").select("id", "old", F.least("class", F.coalesce("far", "class")).alias("class")))
+        side = F.broadcast(labels) if few else labels
+        near = both.join(side.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id"))
+        step = near.agg(F.min("class").alias("class"), F.min(F.when(F.col("a") == F.col("b"), F.col("class"))).alias("old"))
+        jump = side.select(F.col("id").alias("class"), F.col("class").alias("far"))
+        new = checkpointed(step.join(jump, "class").select("id", "old", F.least("class", "far").alias("class")))
         changed = not new.filter("old <> class").isEmpty()
         labels = new.select("id", "class")
         if not changed:
@@ -195,6 +205,14 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
+def _components(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return _bytes(column)[:, :COMPONENTS]
+
+
+def _bands(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_bytes(column)[:, COMPONENTS:]).view(np.int64)
+
+
 def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Those (a, b) whose signatures agree often enough; sigs: (id, sig)."""
     both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
@@ -202,21 +220,27 @@ def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = pa.array((_bytes(b.column(2)) == _bytes(b.column(3))).mean(1) >= PROMISING)
+                keep = pa.array((_components(b.column(2)) == _components(b.column(3))).mean(1) >= PROMISING)
                 yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def _agreement(queries: pa.Table, members: pa.Table):
-    """Row by row of the queries: the members of other components that promise a link, the best first."""
-    q, v = _bytes(queries.column("sig")), _bytes(members.column("sig"))
+    """Row by row of the queries: the members of other components that promise a link, the best first.
+
+    A pair that shares several buckets is looked at in the one of the lowest band alone.
+    """
+    q, v = _components(queries.column("sig")), _components(members.column("sig"))
+    qb, vb = _bands(queries.column("sig")), _bands(members.column("sig"))
     qc, vc = queries.column("class").to_numpy(), members.column("class").to_numpy()
+    band = int((qb[0] == queries.column("key")[0].as_py()).argmax())
     for at in range(0, len(q), 32):
         share = (q[at : at + 32, None] == v[None]).mean(2)
         share[qc[at : at + 32, None] == vc[None]] = 0
         for i in range(len(share)):
             found = np.flatnonzero(share[i] >= PROMISING)
+            found = found[~(vb[found, :band] == qb[at + i, :band]).any(1)]
             yield at + i, found[np.argsort(-share[i, found], kind="stable")]
 
 
@@ -284,18 +308,29 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed.filter("lo <> hi").select("key", "main"), "key")
 
 
-def _by_blocks(open_: DataFrame, columns: list[str], f, side: DataFrame) -> DataFrame:
-    """f over every pair of blocks of each large bucket: members outside the main class against all."""
-    many = open_.filter(F.col("n") > SMALL_BUCKET).join(side, "id")
+def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], side: DataFrame) -> DataFrame:
+    """f over every pair of blocks of each large bucket: members outside the main class against all.
+
+    side: (id, more columns), attached last.  Who belongs to which blocks is settled on narrow
+    rows; a bucket of one block, nearly all of them, sends each member once.
+    """
+    many = open_.filter(F.col("n") > SMALL_BUCKET)
     small_batches(open_.sparkSession)
-    queries = many.filter("class <> main")
-    sizes = queries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
-    many, queries = (x.join(sizes, "key").withColumn("vb", F.ceil(F.col("n") / BLOCK).cast("int")) for x in (many, queries))
+    asks = F.col("class") != F.col("main")
+    sizes = many.groupBy("key").agg(F.ceil(F.count_if(asks) / BLOCK).cast("int").alias("qb"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
     spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}  # ids are dealt to blocks by a hash
-    queries = queries.select("key", *columns, spread["qb"].alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"))
-    many = many.select("key", *columns, F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), spread["vb"].alias("v"))
-    queries = queries.toDF(*queries.columns)  # columns of its own: both sides come from one table
-    return queries.groupBy("key", "q", "v").cogroup(many.groupBy("key", "q", "v")).applyInArrow(f, "a long, b long").distinct()
+    all_v, all_q = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("vb", "qb"))
+    as_query = F.transform(all_v, lambda v: F.struct(spread["qb"].alias("q"), v.alias("v"), F.lit("q").alias("role")))
+    as_member = F.transform(all_q, lambda q: F.struct(q.alias("q"), spread["vb"].alias("v"), F.lit("v").alias("role")))
+    alone = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("v"), F.when(asks, "b").otherwise("v").alias("role")))
+    places = F.when((F.col("qb") == 1) & (F.col("vb") == 1), alone).when(asks, F.concat(as_query, as_member)).otherwise(as_member)
+    rows = many.join(sizes, "key").select("key", "id", "class", F.inline(places)).join(side, "id").select("key", "q", "v", "role", *columns)
+
+    def run(group: pa.Table) -> pa.Table:
+        role = group.column("role")
+        return f(*(group.filter(pc.is_in(role, pa.array(r))) for r in (["q", "b"], ["v", "b"])))
+
+    return rows.groupBy("key", "q", "v").applyInArrow(run, "a long, b long").distinct()
 
 
 def remaining_pairs(open_: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -319,25 +354,38 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the smallest doc_id of its class."""
     rows = checkpointed(signature_rows(docs))
     known = rows.filter("digest is not null and doc_id is not null")
+    twice = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     folded = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    reps = known.join(folded.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
+    side = folded.select("digest", F.col("id").alias("doc_id"))
+    if folded.count() <= BROADCAST_ROWS:
+        reps = known.join(F.broadcast(side), ["digest", "doc_id"], "left_semi")
+    else:
+        reps = checkpointed(known.join(side, ["digest", "doc_id"], "left_semi"))
+    if twice:
+        reps = checkpointed(reps.dropDuplicates(["digest"]))
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = buckets.join(sizes, "key")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     members = checkpointed(members.join(score, "id").select("key", "id", "score", "n"))
-    sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi"))
+    if twice:
+        sigs = checkpointed(sigs.dropDuplicates(["id"]))
 
+    release(docs.sparkSession)
     hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("b"))
-    tried = members.join(hub, "key").filter("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    tried = checkpointed(promising(tried, sigs))
-    links = checkpointed(verified(tried, docs))
+    stars = members.join(hub, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    stars = checkpointed(promising(stars, sigs))
+    links = checkpointed(verified(stars, docs))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links)
+    release(docs.sparkSession)
     open_ = checkpointed(_open_buckets(members, labels))
     if not open_.isEmpty():
         pairs = checkpointed(remaining_pairs(open_, sigs).join(tried, ["a", "b"], "left_anti"))
         links = checkpointed(links.unionByName(verified(pairs, docs)))
         labels = components(links)
+        release(docs.sparkSession)
         open_ = checkpointed(_open_buckets(members.filter(F.col("n") > SMALL_BUCKET), labels))
         if not open_.isEmpty():
             labels = components(links.unionByName(block_links(open_, sigs, docs)))
@@ -345,8 +393,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     # A repeated doc_id may stand for several texts: they are one document.
     named = rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
-    twice = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not twice.isEmpty():
+    if twice or not rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         ties = components(named.filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
         return named.join(ties.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "class_id").alias("class_id"))
     return named
