@@ -51,7 +51,7 @@ def persisted(spark, e, **tables):
     (entry("wmi_subscription", command="Eval(1)"), "high"), (entry("wmi_subscription", command="x"), "medium"), (entry("wmi_subscription", command="eval(1)"), "medium"),
     (entry(binary_path="C:\\Users\\Public\\a.exe", signed=False), "high"), (entry("startup", binary_path="C:\\Users\\Public\\a.exe", signed=False), None), (entry(binary_path="C:\\x\\lsass.exe", signed=True), "high"),
     (entry(binary_path="C:\\x\\a.exe"), "medium"), (entry(binary_path="C:\\x\\a.exe", last_write=datetime(2024, 1, 20)), None), (entry(binary_path="C:\\x\\a.exe", last_write=datetime(2024, 2, 2)), None), (entry(binary_path="C:\\Program Files\\a.exe"), None),
-    (entry(command="powershell.exe -enc AAAA", signed=True), "high"), (entry(command="cmd.exe /c a.bat", signed=True), "low"), (entry(command="cmd.exe /c dir", signed=True), None), (entry(command="C:\\PowerShell Studio\\a.exe x.bat", signed=True), None),
+    (entry(command="powershell.exe -enc AAAA", signed=True), "high"), (entry(command="cmd.exe /c a.bat", signed=True), "low"), (entry(command="cmd.exe /c dir", signed=True), None), (entry(command='"C:\\PowerShell Studio\\a.exe" x.bat', binary_path="C:\\PowerShell Studio\\a.exe", signed=True), None),
     (entry(binary_path="C:\\Users\\Public\\lsass.exe", signed=False), "critical"),
 ])
 def test_persistence_gate(spark, e, severity):
