@@ -392,7 +392,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     # A repeated doc_id may stand for several texts: they are one document.
-    named = rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
+    named = rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     if twice or not rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         ties = components(named.filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
         return named.join(ties.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "class_id").alias("class_id"))
