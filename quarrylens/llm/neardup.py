@@ -51,8 +51,8 @@ PROMISING = 0.66
 SMALL_BUCKET, BLOCK = 24, 1024
 #: Pairs a member of a large bucket is verified for before what is left is compared block by block.
 BEST = 3
-#: Up to this many narrow rows are broadcast.
-BROADCAST_ROWS = 200_000
+#: Up to this many rows of two or three numbers (some 30 MB) are broadcast; more go by shuffle joins.
+BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -355,14 +355,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     rows = checkpointed(signature_rows(docs))
     known = rows.filter("digest is not null and doc_id is not null")
     twice = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    folded = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    side = folded.select("digest", F.col("id").alias("doc_id"))
-    if folded.count() <= BROADCAST_ROWS:
-        reps = known.join(F.broadcast(side), ["digest", "doc_id"], "left_semi")
-    else:
-        reps = checkpointed(known.join(side, ["digest", "doc_id"], "left_semi"))
-    if twice:
-        reps = checkpointed(reps.dropDuplicates(["digest"]))
+    # Equal multisets have equal bands: any row's will do, combined before the shuffle.
+    reps = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    folded = reps.select("digest", F.col("doc_id").alias("id"))
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = buckets.join(sizes, "key")
