@@ -178,11 +178,10 @@ def wmi_subscriptions(bindings: DataFrame, filters: DataFrame, consumers: DataFr
 
 def scheduled_tasks(files: DataFrame, known_files: DataFrame | None = None, env: dict[str, str] | None = None) -> DataFrame:
     """One row an Exec action of task XML files (path, xml, modificationTime, _ord); known_files: (path), to pick binaries by."""
-    exec_ = '//*[local-name()="Exec"]'
-    n = F.expr(f"xpath_int(xml, 'count({exec_})')")
-    rows = files.withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
-    action = lambda tag: F.expr(f"xpath_string(xml, concat('string(({exec_})[', i, ']/*[local-name()=\"{tag}\"])'))")
-    rows = rows.withColumns({"command0": F.trim(action("Command")), "arguments": F.trim(action("Arguments")), "uri": F.expr("xpath_string(xml, 'string(//*[local-name()=\"URI\"])')")})
+    blocks = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?Exec(?:\s[^>]*)?>(.*?)</(?:\w+:)?Exec>"), F.lit(1))
+    rows = files.select("*", F.posexplode(blocks).alias("i", "block")).withColumn("block", F.concat(F.lit("<e>"), F.col("block"), F.lit("</e>")))
+    one = lambda c, tag: F.trim(F.expr(f"xpath_string({c}, 'string(//*[local-name()=\"{tag}\"])')"))
+    rows = rows.withColumns({"command0": one("block", "Command"), "arguments": one("block", "Arguments"), "uri": one("xml", "URI")})
     rows = rows.filter("command0 <> ''").withColumn("command", F.when(F.col("arguments") == "", F.col("command0")).otherwise(F.concat_ws(" ", "command0", "arguments")))
     rows = rows.withColumn("candidates", t.path_candidates(t.expand_env(F.col("command"), env or {}))).withColumn("last_write", F.col("modificationTime"))
     stem = F.regexp_replace(t.base_name(F.col("path")), r"\.xml$", "")
