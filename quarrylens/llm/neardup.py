@@ -14,10 +14,10 @@ components, which keeps its earliest.  The chance that two components agree is t
 Rows of one class of equal shingle multisets are folded into one first, so copies cost nothing.
 Texts that share a band are candidates: in each bucket all members are checked against one hub,
 the member that shares most buckets.  In the buckets that still hold several components, members
-outside the hub's are compared with all others: pair by pair in small buckets; in large ones each
-with its few best partners by signature, and what is left after that block by block, where texts
-are compared within the block and only links that join components leave it.  So a large group
-whose members differ by more than the threshold makes no quadratic number of rows.  Pairs whose
+outside the hub's are compared with all others: pair by pair in small buckets; in large ones block
+by block, best partners by signature first, where texts are compared within the block and only
+links that join components leave it.  So a large group whose members differ by more than the
+threshold makes no quadratic number of rows.  Pairs whose
 signatures agree in less than PROMISING are not verified (at a similarity of 0.8 that has a
 chance of 4 in 100,000, no more than sharing no band has).  Every link comes from comparing the
 two multisets.
@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, release, small_batches, table
@@ -49,8 +49,6 @@ COMPONENTS = BANDS * BAND_ROWS
 PROMISING = 0.66
 #: Buckets of more members are compared in blocks.
 SMALL_BUCKET, BLOCK = 24, 1024
-#: Pairs a member of a large bucket is verified for before what is left is compared block by block.
-BEST = 3
 #: Up to this many rows of two or three numbers (some 30 MB) are broadcast; more go by shuffle joins.
 BROADCAST_ROWS = 1_000_000
 
@@ -252,18 +250,6 @@ def _pairs(a: list[int], b: list[int]) -> pa.Table:
     return pa.table([np.minimum(x, y), np.maximum(x, y)], schema=_PAIR)
 
 
-def _best_pairs(queries: pa.Table, members: pa.Table) -> pa.Table:
-    """Each query of a block with its best few members of other components."""
-    if not queries.num_rows or not members.num_rows:
-        return _PAIR.empty_table()
-    qi, vi = queries.column("id").to_numpy(), members.column("id").to_numpy()
-    a, b = [], []
-    for i, found in _agreement(queries, members):
-        b += vi[found[:BEST]].tolist()
-        a += [int(qi[i])] * len(found[:BEST])
-    return _pairs(a, b)
-
-
 def _block_links(queries: pa.Table, members: pa.Table) -> pa.Table:
     """Links between a block's queries and members, verified on their texts, as many as join components.
 
@@ -334,11 +320,11 @@ def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.T
 
 
 def remaining_pairs(open_: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Promising pairs (a < b) across components: all of small buckets, each member's best of large ones."""
+    """Promising pairs (a < b) across components that share a small bucket."""
     few = open_.filter(F.col("n") <= SMALL_BUCKET)
     other = few.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
     small = few.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return promising(small, sigs).unionByName(_by_blocks(open_, ["id", "class", "sig"], _best_pairs, sigs)).distinct()
+    return promising(small, sigs)
 
 
 def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -360,9 +346,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     folded = reps.select("digest", F.col("doc_id").alias("id"))
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = buckets.join(sizes, "key")
-    score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    members = checkpointed(members.join(score, "id").select("key", "id", "score", "n"))
+    score = F.sum("n").over(Window.partitionBy("id"))  # over a text's bands
+    members = checkpointed(buckets.join(sizes, "key").select("key", "id", score.alias("score"), "n"))
     sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi"))
     if twice:
         sigs = checkpointed(sigs.dropDuplicates(["id"]))
@@ -379,11 +364,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         pairs = checkpointed(remaining_pairs(open_, sigs).join(tried, ["a", "b"], "left_anti"))
         links = checkpointed(links.unionByName(verified(pairs, docs)))
+        large = members.filter(F.col("n") > SMALL_BUCKET)
+        if not large.isEmpty():
+            labels = components(links)
+            release(docs.sparkSession)
+            open_ = checkpointed(_open_buckets(large, labels))
+            links = links.unionByName(block_links(open_, sigs, docs))
         labels = components(links)
-        release(docs.sparkSession)
-        open_ = checkpointed(_open_buckets(members.filter(F.col("n") > SMALL_BUCKET), labels))
-        if not open_.isEmpty():
-            labels = components(links.unionByName(block_links(open_, sigs, docs)))
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     # A repeated doc_id may stand for several texts: they are one document.
