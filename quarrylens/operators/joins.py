@@ -82,10 +82,8 @@ def mft_paths(entries: DataFrame, root: int = 5, drive: str = "C:", depth: int =
         walk, climbed = longer.drop("moved"), 2 * climbed
         if longer.filter("moved").isEmpty():
             break
-    # Cut at the first record that comes again: what was climbed after it is a loop.
-    ids = F.transform("up", lambda x: x["rec"])
-    fresh = F.filter(F.sequence(F.lit(1), F.size("up")), lambda i: F.array_position(ids, F.element_at(ids, i)) == i)
-    n = F.least(F.size(F.filter(fresh, lambda i: F.array_position(fresh, i) == i)), F.lit(depth))
+    # A walk that comes to a record again goes round for ever: its distinct records are what comes before.
+    n = F.least(F.size(F.array_distinct(F.transform("up", lambda x: x["rec"]))), F.lit(depth))
     names = F.transform(F.reverse(F.slice("up", 1, n)), lambda x: x["name"])
     complete = (F.col("at") == root) & (F.size("up") == n) & (n < depth)
     return walk.select("rec", F.concat(F.lit(drive + "\\"), F.array_join(names, "\\")).alias("path"), complete.alias("complete"))

@@ -28,7 +28,11 @@ def verify(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
     """(path, status) of a manifest's outputs against the files of a folder, hashed in parallel."""
     outputs = spark.read.json(manifest, multiLine=True).select(F.explode("outputs").alias("o")).select("o.path", "o.sha256")
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), F.sha2("content", 256).alias("sha256"))
-    return compare_hashes(outputs, files)
+    # Spark's file reader passes over empty files; the folder's listing has them.
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    nothing = [(x.getPath().getName(), hashlib.sha256(b"").hexdigest()) for x in listing if x.isFile() and x.getLen() == 0]
+    return compare_hashes(outputs, files.unionByName(spark.createDataFrame(nothing, "path string, sha256 string")))
 
 
 def ruleset_digest(folder: str | Path) -> str:

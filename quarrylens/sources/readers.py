@@ -170,7 +170,8 @@ def startup_folders(files: DataFrame) -> DataFrame:
 
 def wmi_subscriptions(bindings: DataFrame, filters: DataFrame, consumers: DataFrame) -> DataFrame:
     """Bindings (filter, consumer) with both ends known; consumers: (path, kind, command, _ord)."""
-    rows = bindings.join(filters.select(F.col("path").alias("filter"), "query"), "filter").join(consumers.select(F.col("path").alias("consumer"), "kind", "command"), "consumer")
+    rows = bindings.select("filter", "consumer").join(filters.select(F.col("path").alias("filter"), "query"), "filter")
+    rows = rows.join(consumers.select(F.col("path").alias("consumer"), "kind", "command", "_ord"), "consumer")
     rows = rows.withColumn("last_write", F.lit(None).cast("timestamp"))
     binary = F.when(F.col("kind") == "CommandLineEventConsumer", F.get(F.split(F.trim("command"), r"\s+"), F.lit(0)))
     return _entry(rows, "wmi_subscription", F.col("consumer"), F.col("query"), F.col("command"), binary)

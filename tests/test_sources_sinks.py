@@ -2,7 +2,6 @@ import json
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 from util import at, rows
 
 from quarrylens.functions.values import FILETIME_EPOCH
@@ -109,7 +108,7 @@ def test_tasks_and_wmi(spark):
     b = spark.createDataFrame([("f1", "c1"), ("f1", "c2"), ("gone", "c1")], "filter string, consumer string")
     f = spark.createDataFrame([("f1", "select *")], "path string, query string")
     c = spark.createDataFrame([("c1", "CommandLineEventConsumer", "a.exe -x", 0), ("c2", "ActiveScriptEventConsumer", "Eval(1)", 1)], "path string, kind string, command string, _ord bigint")
-    assert sorted((r.command, r.binary_path) for r in readers.wmi_subscriptions(b, f, c.drop("_ord").withColumn("_ord", F.lit(0))).collect()) == [("Eval(1)", None), ("a.exe -x", "a.exe")]
+    assert sorted((r.command, r.binary_path) for r in readers.wmi_subscriptions(b, f, c).collect()) == [("Eval(1)", None), ("a.exe -x", "a.exe")]
 
 
 def test_snapshots_and_json(spark, tmp_path):
