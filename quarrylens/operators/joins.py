@@ -20,26 +20,34 @@ def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns))
 
 
-def two_tier_matches(probe: DataFrame, probe_id: str, raw: Column, build: DataFrame, path_col: str, payload: Column) -> DataFrame:
-    """(probe_id, matches, degraded) of the probe rows that match anything.
+def _tier_keys(raw: Column) -> tuple[Column, Column]:
+    """A path's own key and the bare name it falls back to, as tagged text."""
+    k = join_key(raw)
+    return F.concat(F.when(k["full"], "p:").otherwise("n:"), k["key"]), F.concat(F.lit("n:"), degraded_key(k))
+
+
+def two_tier_join(probe: DataFrame, probe_id: str, raw: Column, build: DataFrame, path_col: str, **aggregates: Column) -> DataFrame:
+    """(probe_id, the aggregates over its matches, degraded) of the probe rows that match anything.
 
     A probe matches build rows of an equal key; only a probe without such a match falls back to
-    build rows that are bare names equal to its own base name.  matches: payloads in ingest
-    order.  The tier is decided per probe row, so both tiers come from one pass: each key is
-    tagged with its tier, joined once, and the better tier kept.
+    build rows that are bare names equal to its own base name.  The build side is combined per key
+    before the join, so a key that many rows share is one row; the tier is decided per probe row.
     """
-    key = join_key(raw)
-    probes = probe.select(F.col(probe_id), key.alias("k")).filter(F.col("k").isNotNull() & F.col("k.key").isNotNull())
-    probes = probes.select(probe_id, F.inline(F.array(
-        F.struct(F.lit(0).alias("tier"), F.concat(F.when(F.col("k.full"), "p:").otherwise("n:"), F.col("k.key")).alias("_key")),
-        F.struct(F.lit(1).alias("tier"), F.concat(F.lit("n:"), degraded_key(F.col("k"))).alias("_key")),
-    )))
-    built = build.select(join_key(F.col(path_col)).alias("k"), payload.alias("payload"), F.col("_ord").alias("_o"))
-    built = built.filter((degraded_key(F.col("k")) != "") & F.col("k").isNotNull())
-    built = built.select(F.concat(F.when(F.col("k.full"), "p:").otherwise("n:"), F.col("k.key")).alias("_key"), "payload", "_o")
-    joined = probes.join(built, "_key").groupBy(probe_id, "tier").agg(F.sort_array(F.collect_list(F.struct("_o", "payload"))).alias("m"))
-    best = joined.groupBy(probe_id).agg(F.min_by(F.struct("tier", "m"), "tier").alias("b"))
-    return best.select(probe_id, F.transform("b.m", lambda x: x["payload"]).alias("matches"), (F.col("b.tier") == 1).alias("degraded"))
+    own, bare = _tier_keys(raw)
+    probes = probe.select(F.col(probe_id), own.alias("_own"), bare.alias("_bare")).filter("_own is not null")
+    probes = probes.select(probe_id, F.inline(F.array(F.struct(F.lit(0).alias("tier"), F.col("_own").alias("_key")), F.struct(F.lit(1).alias("tier"), F.col("_bare").alias("_key")))))
+    key, name = _tier_keys(F.col(path_col))
+    built = build.withColumn("_key", key).filter(name.isNotNull() & (name != "n:"))
+    built = built.groupBy("_key").agg(*(c.alias(n) for n, c in aggregates.items()))
+    best = probes.join(built, "_key").groupBy(probe_id).agg(F.min_by(F.struct("tier", *aggregates), "tier").alias("b"))
+    return best.select(probe_id, *(F.col(f"b.{n}").alias(n) for n in aggregates), (F.col("b.tier") == 1).alias("degraded"))
+
+
+def two_tier_matches(probe: DataFrame, probe_id: str, raw: Column, build: DataFrame, path_col: str, payload: Column) -> DataFrame:
+    """(probe_id, matches, degraded): the payloads of all matches in ingest order."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_ord").alias("o"), payload.alias("payload"))))
+    out = two_tier_join(probe, probe_id, raw, build, path_col, matches=listed)
+    return out.withColumn("matches", F.transform("matches", lambda x: x["payload"]))
 
 
 def range_join(probe: DataFrame, start: str, build: DataFrame, ts: str, width_us: int) -> DataFrame:

@@ -278,14 +278,11 @@ def temporal(tables: Tables, prior: DataFrame | None, p: Params, spark: SparkSes
 
 def live_exec_signals(processes: DataFrame, executions: DataFrame, p: Params) -> DataFrame:
     """Every process with signal 'a' (no artifact), 'b' (unsigned and first seen lately) or null, and its first run."""
-    run = F.struct("first_run", "source")
-    found = joins.two_tier_matches(processes, "_ord", F.col("image"), executions, "path", run)
+    known = F.when(F.col("first_run").isNotNull(), F.col("source"))
+    found = joins.two_tier_join(processes, "_ord", F.col("image"), executions, "path", first_run=F.min("first_run"), first_source=F.min_by(known, F.when(known.isNotNull(), F.struct("first_run", "_ord"))))
     rows = processes.join(found, "_ord", "left")
-    first = F.array_min(F.transform("matches", lambda m: m["first_run"]))
     fresh = v.within_days(F.col("first_run"), p.now, p.recent_first_run_days) & (F.col("signed") == False)  # noqa: E712
-    rows = rows.withColumn("first_run", first)
-    source = F.filter("matches", lambda m: m["first_run"] == F.col("first_run"))[0]["source"]
-    return rows.withColumn("signal", F.when(F.col("matches").isNull(), "a").when(fresh, "b")).withColumn("first_source", source)
+    return rows.withColumn("signal", F.when(F.col("degraded").isNull(), "a").when(fresh, "b"))
 
 
 def live_exec(tables: Tables, prior: DataFrame | None, p: Params, spark: SparkSession) -> DataFrame:
