@@ -55,6 +55,14 @@ def since(events: DataFrame, ts: Column) -> DataFrame:
     return events.filter(F.col("ts") >= ts)
 
 
+def read_events(spark: SparkSession, path: str, channels: list[str] | None = None, start: Column | None = None) -> DataFrame:
+    """Event records kept as Parquet, best partitioned by channel: only the channels asked for are read."""
+    rows = spark.read.parquet(path)
+    rows = rows.filter(F.col("channel").isin(channels)) if channels is not None else rows
+    rows = since(rows, start) if start is not None else rows
+    return rows if "_ord" in rows.columns else with_ordinal(rows)
+
+
 # ---- event logs exported as JSON ------------------------------------------------------------
 
 

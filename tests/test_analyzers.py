@@ -205,3 +205,12 @@ def test_mft_paths(spark):
     assert got[40] == ("C:\\x\\y\\z", False)
     assert got[1253][1] is True and got[1254][1] is False and got[1253][0].count("\\") == 254
     assert 5 not in got
+
+
+def test_hash_targets(spark):
+    tb = {"process": rows(spark, "process", proc(2, "C:\\x\\svchost.exe"), proc(3, "C:\\y.exe")), "persistence": rows(spark, "persistence", entry(binary_path="C:\\Users\\Public\\a.exe", signed=False), entry(value="other", binary_path="C:\\Program Files\\b.exe"))}
+    found = a.parentchild(tb, None, P, spark).unionByName(a.persist(tb, None, P, spark))
+    targets = pipeline.hash_targets(tb, found)
+    assert sorted(r.path for r in targets.collect()) == ["C:\\Users\\Public\\a.exe", "C:\\x\\svchost.exe"]
+    hashes = spark.createDataFrame([("c:\\X\\SVCHOST.exe", "h")], "path string, sha256 string")
+    assert {r.path: r.sha256 for r in pipeline.with_hashes(targets, hashes).collect()}["C:\\x\\svchost.exe"] == "h"
