@@ -65,11 +65,16 @@ def unpack_numbers(b: bytes) -> np.ndarray:
 
 def block_table(texts: list[str], order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The block's distinct n-grams as sorted bucket-codes, their counts, and the number of words."""
-    parts = [g for t in texts for g in grams(t, order)]
-    n_words = sum(len(g) for g in parts[::order]) if order else 0
-    every = np.concatenate(parts) if parts else np.empty(0, dtype=_U)
-    codes, counts = np.unique(_codes(every, buckets), return_counts=True)
-    return codes, counts, n_words
+    parts, n_words = [np.empty(0, dtype=_U)], 0
+    for t in texts:
+        own = grams(t, order)
+        n_words += len(own[0])
+        parts += [_codes(g, buckets) for g in own]
+    every = np.concatenate(parts)
+    del parts
+    every.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), dtype=bool), every[1:] != every[:-1])))
+    return every[first], np.diff(np.append(first, len(every))), n_words
 
 
 def score_block(texts: list[str], order: int, buckets: int, codes: np.ndarray, totals: np.ndarray, all_words: int) -> list[tuple[int, float]]:
