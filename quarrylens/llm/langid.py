@@ -3,7 +3,9 @@
 A text becomes a vector of hashed character 1- to 3-gram counts, damped, weighted by inverse
 document frequency and scaled to unit length.  Spherical k-means gives each language several
 centroids; a text gets the language of the centroid with the largest cosine.  It is rejected when
-that cosine lies far below what the centroid's own training texts reach.
+that cosine lies far below what the centroid's own training texts reach, or when too large a share
+of its 3-grams occurs in no training text of its language.  A cosine rises with a text's length, as
+a long text of any script fills the hashed buckets; the share does not.
 
 Fitting reads a bounded sample of labelled rows (SAMPLE_PER_LANG a language, by a hash of the
 row); prediction reads every whole text and nothing but the text.
@@ -36,22 +38,27 @@ PIECE = 1 << 19
 SHARPNESS = 25.0
 #: A text is rejected below this share of the cosine that nearly all training texts of its centroid reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.25, 0.005
+#: Bits of the hash by which 3-grams are known: a few thousand a language seldom share a value.
+KNOWN_BITS = 18
+#: A text is rejected if more than this share of its 3-grams is unknown in its language, or, where its
+#: training texts hold more that no other of them has, more than nearly all of those do; a text of
+#: few 3-grams may exceed it by UNKNOWN_SPREAD standard deviations.
+UNKNOWN_SHARE, UNKNOWN_SPREAD = 0.35, 2.0
 
 
 def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket numbers of the 1-, 2- and 3-grams of letters, with one space between words."""
+    """64-bit hashes of the 1-, 2- and 3-grams of letters, with one space between words."""
     letters = letter_table()[points]
     x = np.where(letters, points, np.uint32(32)).astype(np.uint64)
     keep = np.ones(len(x), dtype=bool)
     keep[1:] = letters[1:] | letters[:-1]
     x = np.concatenate(([np.uint64(32)], x[keep], [np.uint64(32)]))
-    shift = np.uint64(52)
     one = x * np.uint64(0x9E3779B97F4A7C15)
     two = (one[:-1] ^ (x[1:] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
     three = (two[:-1] ^ (x[2:] * np.uint64(0x165667B19E3779F9))) * np.uint64(0xC4CEB9FE1A85EC53)
-    yield (one[x != 32] * np.uint64(0xD6E8FEB86659FD93)) >> shift
-    yield two >> shift
-    yield three >> shift
+    yield one[x != 32] * np.uint64(0xD6E8FEB86659FD93)
+    yield two
+    yield three
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -60,27 +67,54 @@ def counts(texts: list[str]) -> np.ndarray:
     for i, text in enumerate(texts):
         points = code_points(text.lower())
         for at in range(0, len(points), PIECE):
-            for bucket in _grams(points[at : at + PIECE]):
-                out[i] += np.bincount(bucket.astype(np.int64), minlength=BUCKETS)
+            for hashed in _grams(points[at : at + PIECE]):
+                out[i] += np.bincount((hashed >> np.uint64(52)).astype(np.int64), minlength=BUCKETS)
     return out
 
 
+def _triples(text: str) -> Iterator[np.ndarray]:
+    """The values by which a text's 3-grams are known, piece by piece."""
+    points = code_points(text.lower())
+    for at in range(0, len(points), PIECE):
+        *_, three = _grams(points[at : at + PIECE])
+        yield (three >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+
+
+def unknown_share(text: str, known: np.ndarray) -> tuple[float, int]:
+    """Share of a text's 3-grams that are not known, and the number of its 3-grams."""
+    n = unknown = 0
+    for t in _triples(text):
+        n += len(t)
+        unknown += int(np.count_nonzero(~known[t]))
+    return unknown / max(n, 1), n
+
+
+def known_triples(texts: list[str]) -> tuple[np.ndarray, float]:
+    """Which 3-grams occur in the texts, and the largest share of unknown ones that is accepted."""
+    holders = np.zeros(1 << KNOWN_BITS, dtype=np.int32)
+    for text in texts:
+        for v in {int(v) for t in _triples(text) for v in np.unique(t)}:
+            holders[v] += 1
+    others = [unknown_share(text, holders > 1)[0] for text in texts]  # each against all others
+    return holders > 0, max(UNKNOWN_SHARE, float(np.quantile(others, 1 - REJECT_QUANTILE)))
+
+
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(c) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 class LanguageModel:
-    """Centroids with their languages and rejection radii."""
+    """Centroids with their languages and rejection radii; known: of each language what known_triples gives."""
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, radius: np.ndarray):
-        self.langs, self.idf, self.centroids, self.owner, self.radius = langs, idf, centroids, owner, radius
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, radius: np.ndarray, known: list[tuple[np.ndarray, float]]):
+        self.langs, self.idf, self.centroids, self.owner, self.radius, self.known = langs, idf, centroids, owner, radius, known
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
         names = sorted(set(langs))
         if not names:
-            return cls([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+            return cls([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0), [])
         raw = counts(texts)
         idf = (np.log((1 + len(texts)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
         x = weighted(raw, idf)
@@ -97,7 +131,13 @@ class LanguageModel:
                     centroids.append(c[j])
                     owner.append(k)
                     radius.append(REJECT_SHARE * float(np.quantile(mine, REJECT_QUANTILE)))
-        return cls(names, idf, np.array(centroids, dtype=np.float32), np.array(owner), np.array(radius))
+        return cls(names, idf, np.array(centroids, dtype=np.float32), np.array(owner), np.array(radius), [known_triples([t for t, v in zip(texts, langs, strict=True) if v == name]) for name in names])
+
+    def foreign(self, text: str, k: int) -> bool:
+        """Whether too many 3-grams of a text are unknown in language k."""
+        known, limit = self.known[k]
+        share, n = unknown_share(text, known)
+        return share > limit + UNKNOWN_SPREAD * (limit * (1 - limit) / max(n, 1)) ** 0.5
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -118,7 +158,7 @@ class LanguageModel:
                 if has[r] and _has_letter(t):
                     k = int(best[r].argmax())
                     near = int(sims[r].argmax())
-                    out[i] = (self.langs[k], float(min(1.0, p[r, k])), bool(sims[r, near] < self.radius[near]))
+                    out[i] = (self.langs[k], float(min(1.0, p[r, k])), bool(sims[r, near] < self.radius[near]) or self.foreign(t, k))
         return out
 
 

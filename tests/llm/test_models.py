@@ -35,6 +35,21 @@ def test_language_odd_rows(spark, sf_dir):
     assert empty.langs == []
 
 
+def test_unlearned_languages_are_rejected(spark, sf_dir):
+    """At every length: a language nobody taught, random letters, and letters of another script."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_on(docs.filter(~fold("doc_id", 3, 1)))
+    r = random.Random(5)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä".split()
+    for n in (20, 100, 400, 2000, 8000):
+        texts = [" ".join(r.choices(finnish, k=n))]
+        texts += [" ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", [chr(i) for i in range(0x4E00, 0x5E00)])]
+        assert all(p[2] for p in model.predict(texts)), n
+    held = [x.text for x in docs.filter(fold("doc_id", 3, 1)).filter("length(text) > 200").collect()]
+    assert len(held) > 30 and not any(p[2] for p in model.predict(held))
+    assert not any(p[2] for p in model.predict([t + " " + t for t in held]))
+
+
 def test_kmeans_and_grams():
     x = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2, 3]]
     assert len({tuple(c) for c in langid.spherical_kmeans(x, 4, 0).round(3).tolist()}) == 4
