@@ -332,15 +332,54 @@ def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame
     large = open_.filter(F.col("n") > SMALL_BUCKET)
     ids = checkpointed(large.select("id").distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few, "id", "left_semi")
     return _by_blocks(large, ["id", "class", "sig", "text"], _block_links, sigs.join(texts, "id"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _made_ids(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """texts (doc_id, h1, h2) with an id of its own for each, none of which is used."""
+    salt = 0
+    while True:
+        made = checkpointed(texts.withColumn("id", F.xxhash64(F.lit(salt), "doc_id", "h1", "h2")))
+        met = made.select("id").unionByName(used.select(F.col("doc_id").alias("id"))).groupBy("id").count().filter("count > 1")
+        if made.join(met, "id", "left_semi").isEmpty():
+            return made
+        salt += 1
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the smallest doc_id of its class."""
+    """(doc_id, class_id) of every row; class_id is the smallest doc_id of its class.
+
+    A repeated doc_id may stand for several texts.  Each of them is classed under an id of its own,
+    and the classes that one doc_id belongs to are united at the end.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = docs.filter("doc_id is not null").groupBy("doc_id").count()
+    again = checkpointed(sizes.filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return _classes(docs)
+    repeated = _few(again)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    several = docs.join(repeated, "doc_id", "left_semi").select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    made = _made_ids(several.select("doc_id", "h1", "h2").distinct(), sizes)
+    ids = _few(made)
+    apart = checkpointed(several.join(ids, ["doc_id", "h1", "h2"]).select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    classes = _classes(docs.join(repeated, "doc_id", "left_anti").unionByName(apart)).filter("doc_id is not null")
+    for c in ("doc_id", "class_id"):  # back from the ids made; a class's id is one of its members'
+        origin = ids.select(F.col("id").alias(c), F.col("doc_id").alias("origin"))
+        classes = classes.join(origin, c, "left").withColumn(c, F.coalesce("origin", c)).drop("origin")
+    united = components(classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+    return docs.select("doc_id").join(united.toDF("doc_id", "class_id"), "doc_id", "left")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """near_duplicate_classes of rows none of which repeats a doc_id."""
     rows = checkpointed(signature_rows(docs))
     known = rows.filter("digest is not null and doc_id is not null")
-    twice = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     # Equal multisets have equal bands: any row's will do, combined before the shuffle.
     reps = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     folded = reps.select("digest", F.col("doc_id").alias("id"))
@@ -349,8 +388,6 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     score = F.sum("n").over(Window.partitionBy("id"))  # over a text's bands
     members = checkpointed(buckets.join(sizes, "key").select("key", "id", score.alias("score"), "n"))
     sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi"))
-    if twice:
-        sigs = checkpointed(sigs.dropDuplicates(["id"]))
 
     release(docs.sparkSession)
     hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("b"))
@@ -373,12 +410,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         labels = components(links)
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
-    # A repeated doc_id may stand for several texts: they are one document.
-    named = rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
-    if twice or not rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        ties = components(named.filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
-        return named.join(ties.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "class_id").alias("class_id"))
-    return named
+    return rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:

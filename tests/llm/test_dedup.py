@@ -93,6 +93,27 @@ def test_odd_rows(spark):
     assert neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_each_text_of_a_repeated_id(spark):
+    """A doc_id with unlike texts is linked by each of them; ids may lie anywhere."""
+    r, words = vocabulary(3, 4000)
+    rows, want, top = [], {}, (1 << 63) - 1
+    for g in range(12):
+        own = 1000 + g if g % 2 else top - g
+        for j in range(4):  # four unlike texts of one id, and a near copy of each elsewhere
+            base = r.choices(words, k=90)
+            copy = list(base)
+            copy[r.randrange(90)] = "changed"
+            other = g * 10 + j if g % 3 else -g * 10 - j - 1
+            rows += [(own, " ".join(base)), (other, " ".join(copy)), (own, " ".join(base))]
+            want |= {other: g, own: g}
+    lone = [(5000, None), (5000, ""), (None, rows[0][1]), (5001, "a text alone"), (5001, "and another text")]
+    df = spark.createDataFrame(rows + lone, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.class_id) for x in neardup.near_duplicate_classes(df).collect()]
+    first = {g: min(i for i in want if want[i] == g) for g in want.values()}
+    assert sorted(got, key=str) == sorted([(i, first[want[i]]) for i, _ in rows] + [(5000, 5000), (5000, 5000), (None, None), (5001, 5001), (5001, 5001)], key=str)
+    assert neardup.one_of_each_class(df).count() == len(first) + 3
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     for overlap in (0.5, 0.8, 0.95):
