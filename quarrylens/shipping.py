@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,6 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="quarrylens-")  # on the driver, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     out = os.path.join(folder, "quarrylens_pkg.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import FILETIME_EPOCH, USN_REASONS, filetime
-from ..shipping import ship
+from ..storage import python_ready
 
 #: Larger blobs are noted and skipped.
 MAX_BLOB = 512 << 20
@@ -173,8 +173,7 @@ def prefetch_body(b: bytes) -> bytes | None:
 
 def _rows(spark: SparkSession, path: str, f: Callable[[str, bytes], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
     """f over every file below a path, a file a row."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    python_ready(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= MAX_BLOB)
     names = [x.split()[0] for x in schema.split(", ")]
 

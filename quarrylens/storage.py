@@ -1,16 +1,44 @@
-"""Cutting lineage in the folder that the cluster names."""
+"""Shared folder, checkpoints and the limits of Arrow batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from .shipping import ship
+
+#: Rows and bytes of one Arrow batch on its way to a Python worker.  A batch ends with the row that
+#: passes the bytes, so large texts and blobs don't add up.  Every operator sets the same limits;
+#: what wants smaller portions cuts them inside its function.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets one of our own; on a cluster that is an error, as a
+    temporary folder is another one on each machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "quarrylens-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; only where no folder is configured (local tests) one of our own is set."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quarrylens-checkpoints"))
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Ship the package to Python workers and bound what one Arrow batch holds."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
