@@ -8,7 +8,8 @@ is exactly its tier long, a power of two, and needs no padding.  Sequences are t
 groups of even token counts.
 
 Packing streams over each input partition in groups of GROUP_TOKENS ids, so nothing is shuffled
-and memory is bounded by a group and one document.  Sequence ids carry the partition number.
+and memory is bounded by a group and one document.  Sequence ids carry the partition number.  Step
+groups are balanced within such a group of one partition, not across the table.
 
 Defined results: a null text counts as an empty one and yields the end id alone; rows with a
 repeated or null doc_id are packed as documents of their own; an empty table gives an empty
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, bpe
-from .common import small_batches, table
+from .common import python_ready, table
 
-TIERS = (1024, 512, 256, 128, 64)
+#: Tiers below 64 take only a group's last rest, which so needs no padding either.
+TIERS = (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 END_ID = 0
@@ -112,7 +114,7 @@ def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row a piece of a document; see SCHEMA."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 

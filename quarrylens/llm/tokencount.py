@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Bpe, bpe
-from .common import small_batches, table
+from .common import python_ready, table
 
 LEAF = 64
 #: A boundary this many characters before an edit is fixed: the pattern looks at most two ahead.
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     docs: doc_id, text, edits array<struct<begin: int, finish: int, words: string>>; each edit's
     positions are code points of the text as the edits before it left it.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "edits")
 
