@@ -7,25 +7,27 @@ that cosine lies far below what the centroid's own training texts reach, or when
 of its 3-grams occurs in no training text of its language.  A cosine rises with a text's length, as
 a long text of any script fills the hashed buckets; the share does not.
 
-Fitting reads a bounded sample of labelled rows (SAMPLE_PER_LANG a language, by a hash of the
-row); prediction reads every whole text and nothing but the text.
+Fitting reads a bounded sample of labelled rows (SAMPLE_PER_LANG a language, by a hash of the row);
+their texts become vectors in the executors, and the driver gets those and counts alone.  Prediction
+reads every whole text and nothing but the text.
 
 Defined results: a text that is null or has no letter is 'und' with score 0 and rejected; with no
 labelled row at all every text is 'und'; rows with a null or repeated doc_id are predicted like any
-other; ties between languages go to the first in alphabetical order; an empty table gives an empty
-result; extra columns are ignored.
+other; a labelled row that occurs again is learned from once; ties between languages go to the first in
+alphabetical order; an empty table gives an empty result; extra columns are ignored; more than
+1,000 different labels are an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, mapped_texts, table
+from .common import bounded_sample, checkpointed, filtered_texts, fold, mapped_texts, table
 from .text import code_points, letter_table
 
 #: Training rows a language, at most about: a bound on what the driver holds.
@@ -89,14 +91,18 @@ def unknown_share(text: str, known: np.ndarray) -> tuple[float, int]:
     return unknown / max(n, 1), n
 
 
-def known_triples(texts: list[str]) -> tuple[np.ndarray, float]:
-    """Which 3-grams occur in the texts, and the largest share of unknown ones that is accepted."""
-    holders = np.zeros(1 << KNOWN_BITS, dtype=np.int32)
-    for text in texts:
-        for v in {int(v) for t in _triples(text) for v in np.unique(t)}:
-            holders[v] += 1
-    others = [unknown_share(text, holders > 1)[0] for text in texts]  # each against all others
-    return holders > 0, max(UNKNOWN_SHARE, float(np.quantile(others, 1 - REJECT_QUANTILE)))
+def triple_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a text's 3-grams and how often each occurs."""
+    total = np.zeros(1 << KNOWN_BITS, dtype=np.int64)
+    for t in _triples(text):
+        total += np.bincount(t, minlength=1 << KNOWN_BITS)
+    values = np.flatnonzero(total)
+    return values, total[values]
+
+
+def accepted_share(alone: Iterable[float]) -> float:
+    """The largest share of unknown 3-grams that is accepted; alone: of each training text the share that no other has."""
+    return max(UNKNOWN_SHARE, float(np.quantile(list(alone), 1 - REJECT_QUANTILE)))
 
 
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -111,12 +117,12 @@ class LanguageModel:
         self.langs, self.idf, self.centroids, self.owner, self.radius, self.known = langs, idf, centroids, owner, radius, known
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
+    def fit(cls, raw: np.ndarray, langs: list[str], known: dict[str, tuple[np.ndarray, float]] | None = None) -> LanguageModel:
+        """raw: n-gram counts of each training text; langs: their languages; known: by language which 3-grams occur, and the share accepted."""
         names = sorted(set(langs))
         if not names:
             return cls([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0), [])
-        raw = counts(texts)
-        idf = (np.log((1 + len(texts)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
+        idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
         x = weighted(raw, idf)
         label = np.array([names.index(v) for v in langs])
         centroids, owner, radius = [], [], []
@@ -131,7 +137,7 @@ class LanguageModel:
                     centroids.append(c[j])
                     owner.append(k)
                     radius.append(REJECT_SHARE * float(np.quantile(mine, REJECT_QUANTILE)))
-        return cls(names, idf, np.array(centroids, dtype=np.float32), np.array(owner), np.array(radius), [known_triples([t for t, v in zip(texts, langs, strict=True) if v == name]) for name in names])
+        return cls(names, idf, np.array(centroids, dtype=np.float32), np.array(owner), np.array(radius), [known[name] for name in names])
 
     def foreign(self, text: str, k: int) -> bool:
         """Whether too many 3-grams of a text are unknown in language k."""
@@ -166,30 +172,68 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:256])) or any(map(str.isalpha, text[256:]))
 
 
-def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids that maximise cosines; seeded by spreading picks out."""
+def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12, starts: int = 4) -> np.ndarray:
+    """Unit centroids that maximise the summed cosine, the best of several seedings by squared distance (k-means++).
+
+    A cluster of hardly any member is seeded anew from the largest one, so odd single texts don't
+    use up a language's centroids.
+    """
     k = min(k, len(x))
-    rng = np.random.default_rng(seed)
-    picks = [int(rng.integers(len(x)))]
-    while len(picks) < k:
-        gap = 1 - (x @ x[picks].T).max(1)
-        picks.append(int(gap.argmax()))
-    c = x[picks].copy()
-    for _ in range(rounds):
-        best = (x @ c.T).argmax(1)
-        for j in range(k):
-            if (best == j).any():
-                m = x[best == j].sum(0)
-                c[j] = m / max(float(np.linalg.norm(m)), 1e-12)
-    return c
+    best_c, best_sum = x[:k].copy(), -np.inf
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        picks = [int(rng.integers(len(x)))]
+        while len(picks) < k:
+            gap = np.maximum(1 - (x @ x[picks].T).max(1), 0).astype(np.float64)
+            left = [i for i in range(len(x)) if i not in picks]
+            picks.append(int(rng.choice(len(x), p=gap / gap.sum())) if gap.sum() > 1e-9 else left[0])
+        c = x[picks].copy()
+        least = max(1, len(x) // (20 * k)) if len(x) > 20 * k else 1
+        for r in range(rounds):
+            sims = x @ c.T
+            near = sims.argmax(1)
+            size = np.bincount(near, minlength=k)
+            for j in range(k):
+                if size[j] < least and r < rounds // 2:
+                    c[j] = x[rng.choice(np.flatnonzero(near == size.argmax()))]
+                elif size[j]:
+                    m = x[near == j].sum(0)
+                    c[j] = m / max(float(np.linalg.norm(m)), 1e-12)
+        total = float((x @ c.T).max(1).sum())
+        if total > best_sum:
+            best_c, best_sum = c, total
+    return best_c
 
 
 def fit_on(labelled: DataFrame) -> LanguageModel:
     """Fit on a bounded sample of (doc_id, text, lang) rows."""
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    rows = bounded_sample(rows, "lang", SAMPLE_PER_LANG, F.xxhash64("doc_id")).collect()
-    rows = sorted(((r.lang, r.doc_id, r.text) for r in rows if _has_letter(r.text)), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
-    return LanguageModel.fit([r[2] for r in rows], [r[0] for r in rows])
+    rows = labelled.filter("lang is not null and text is not null").select("doc_id", F.col("text"), F.col("lang").cast("string").alias("lang"))
+    rows = bounded_sample(rows, "lang", SAMPLE_PER_LANG, F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "text", "lang"])
+
+    def value(texts: list[str | None]) -> list[list]:
+        raw = counts(texts)
+        triples = [triple_counts(t) for t in texts]
+        at = [np.flatnonzero(r) for r in raw]
+        return [list(map(_has_letter, texts)), at, [r[i] for r, i in zip(raw, at, strict=True)], *([t[i] for t in triples] for i in (0, 1))]
+
+    whole, real = T.ArrayType(T.IntegerType()), T.ArrayType(T.FloatType())
+    made = mapped_texts(rows, ["doc_id", "lang"], "text", [("letters", T.BooleanType()), ("at", whole), ("n", real), ("triples", whole), ("times", whole)], value)
+    made = checkpointed(made.filter("letters"))
+    got = sorted(((r.lang, r.doc_id is not None, r.doc_id or 0, r.at, r.n) for r in made.select("lang", "doc_id", "at", "n").collect()))
+    raw = np.zeros((len(got), BUCKETS), dtype=np.float32)
+    for i, r in enumerate(got):
+        raw[i, r[3]] = r[4]
+    # Of each 3-gram value how many texts of a language hold it: 2^KNOWN_BITS rows a language at most.
+    held = made.select("lang", F.explode("triples").alias("v")).groupBy("lang", "v").agg(F.count(F.lit(1)).alias("n"))
+    holders = {r[0]: np.zeros(1 << KNOWN_BITS, dtype=np.int64) for r in got}
+    for r in held.collect():
+        holders[r.lang][r.v] = r.n
+    single = {lang: h < 2 for lang, h in holders.items()}
+    shares: dict[str, list[float]] = {lang: [] for lang in holders}
+    for r in made.select("lang", "triples", "times").toLocalIterator():
+        times = np.array(r.times)
+        shares[r.lang].append(float(times[single[r.lang][np.array(r.triples, dtype=np.int64)]].sum()) / max(1, int(times.sum())))
+    return LanguageModel.fit(raw, [r[0] for r in got], {lang: (holders[lang] > 0, accepted_share(shares[lang])) for lang in holders})
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -203,6 +247,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], te
     return mapped_texts(docs, keep, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], value)
 
 
+def in_known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows that predict() doesn't reject, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered_texts(docs, text_col, lambda texts: [not f[2] for f in shared.value.predict(texts)])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on(docs.filter(~fold("doc_id", 3, 1)))
