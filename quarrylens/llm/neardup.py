@@ -17,15 +17,17 @@ the member that shares most buckets.  In the buckets that still hold several com
 outside the hub's are compared with all others: pair by pair in small buckets; in large ones block
 by block, best partners by signature first, where texts are compared within the block and only
 links that join components leave it.  So a large group whose members differ by more than the
-threshold makes no quadratic number of rows.  Pairs whose
-signatures agree in less than PROMISING are not verified (at a similarity of 0.8 that has a
-chance of 4 in 100,000, no more than sharing no band has).  Every link comes from comparing the
-two multisets.
+threshold makes no quadratic number of rows.  A block is bounded in members and in characters.
+Keys that many members share are joined apart from the others, and a hub's text goes to as many
+tasks as its members fill, so no key is one task's work.  Every link comes from comparing the two
+multisets.  Pairs whose signatures agree in less than PROMISING are not verified (at a similarity
+of 0.8 that has a chance of 4 in 100,000, no more than sharing no band has); promising=0 verifies
+every pair that shares a band.
 
 Defined results: a null text, or one without a word, is in no link and a class of its own; a text
 of one to four words has one shingle of all its words; rows with the same doc_id are one document,
 linked if any of its texts is; a row without doc_id has class null; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored.  ``one_of_each_class`` says what it does with them itself.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, small_batches, table
+from .common import BROADCAST_ROWS, all_columns, checkpointed, few, odd_rows, python_ready, table
 from .text import mix, shingles
 
 SHINGLE_WORDS = 5
@@ -47,10 +49,10 @@ BANDS, BAND_ROWS = 26, 5
 COMPONENTS = BANDS * BAND_ROWS
 #: Share of agreeing components below which a pair is not verified.
 PROMISING = 0.66
-#: Buckets of more members are compared in blocks.
-SMALL_BUCKET, BLOCK = 24, 1024
-#: Up to this many rows of two or three numbers (some 30 MB) are broadcast; more go by shuffle joins.
-BROADCAST_ROWS = 1_000_000
+#: Buckets of more members are compared in blocks of so many members, or characters of their texts.
+SMALL_BUCKET, BLOCK, BLOCK_CHARS = 24, 1024, 16 << 20
+#: Keys with more rows are joined apart (their narrow side is broadcast), hubs with more pairs spread.
+HOT = 1024
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -111,27 +113,28 @@ def bag_digests(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, bands, sig) of every text; the last three are null without a word.
+    """(doc_id, digest, bands, sig, chars) of every text; digest, bands and sig are null without a word.
 
-    sig: one byte a component, enough to estimate similarities, and then the band keys.
+    sig: one byte a component, enough to estimate similarities, and then the band keys; chars: the text's length.
     """
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                doc, sh, n = shingles(part.column(1).to_pylist(), SHINGLE_WORDS)
+                texts = part.column(1).to_pylist()
+                doc, sh, n = shingles(texts, SHINGLE_WORDS)
                 digest = bag_digests(doc, sh, n, part.num_rows)
                 signatures = bag_signatures(doc, sh, n, part.num_rows)
                 keys = band_keys(signatures)
                 small = (mix(signatures.view(_U)) >> _U(17)).astype(np.uint8)
                 sig = [x.tobytes() + k.tobytes() if g else None for x, k, g in zip(small, keys, digest, strict=True)]
                 bands = [k.tolist() if g else None for k, g in zip(keys, digest, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "digest", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(list(map(len, texts)), pa.int64())], names=["doc_id", "digest", "bands", "sig", "chars"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary")
+    return plain.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sig binary, chars long")
 
 
 def text_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,17 +154,40 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / every if every else 0.0
 
 
+def join_hot(rows: DataFrame, side: DataFrame, n: str) -> DataFrame:
+    """rows joined with side (key, n, ...; one narrow row a key) where rows has n rows of a key.
+
+    Keys of more than HOT rows, of which there can be few, meet theirs by broadcast.
+    """
+    hot = checkpointed(side.filter(F.col(n) > HOT))
+    many = hot.count()
+    if not many or many > BROADCAST_ROWS:
+        return rows.join(side, "key")
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select("key"), "key", "left_anti").join(side.filter(F.col(n) <= HOT), "key")
+    return cold.unionByName(rows.join(hot, "key"))
+
+
+def spread_hubs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) with a salt, and (b, salt): a hub b of many pairs has several salts, HOT pairs each."""
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("salts"))
+    large = checkpointed(hubs.filter("salts > 1"))
+    salted = pairs.join(few(large), "b", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salted = salted.select("a", "b", F.pmod(F.xxhash64("a", F.lit(9)), F.col("salts")).cast("int").alias("salt"))
+    return salted, hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, by comparing their shingle multisets."""
-    small_batches(docs.sparkSession)
-    pairs = pairs.select("a", "b")
-    hubs = pairs.select(F.col("b").alias("id")).distinct()
-    if pairs.count() <= BROADCAST_ROWS:  # narrow rows: then texts meet their pairs where they are read
+    python_ready(docs.sparkSession)
+    n = pairs.count()
+    pairs, hubs = spread_hubs(pairs.select("a", "b"))
+    if n <= BROADCAST_ROWS:  # narrow rows: then texts meet their pairs where they are read
         pairs, hubs = F.broadcast(pairs), F.broadcast(hubs)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
-    left = texts.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
-    right = texts.join(hubs, "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = left.join(right, "b").select("a", "b", "text_a", "text_b")
+    left = texts.join(pairs, F.col("id") == F.col("a")).select("a", "b", "salt", F.col("text").alias("text_a"))
+    right = texts.join(hubs, F.col("id") == F.col("b")).select("b", "salt", F.col("text").alias("text_b"))
+    joined = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_bag = None, None
@@ -211,20 +237,26 @@ def _bands(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.ascontiguousarray(_bytes(column)[:, COMPONENTS:]).view(np.int64)
 
 
-def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Those (a, b) whose signatures agree often enough; sigs: (id, sig)."""
-    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+def promising(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Those (a, b) whose signatures agree in a share of least or more; sigs: (id, sig, ...)."""
+    if least <= 0:
+        return pairs.select("a", "b")
+    pairs = checkpointed(pairs)
+    salted, hubs = spread_hubs(pairs)
+    sigs = sigs.select("id", "sig")
+    right = hubs.join(sigs.toDF("b", "sig_b"), "b")
+    both = salted.join(sigs.toDF("a", "sig_a"), "a").join(right, ["b", "salt"]).select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = pa.array((_components(b.column(2)) == _components(b.column(3))).mean(1) >= PROMISING)
+                keep = pa.array((_components(b.column(2)) == _components(b.column(3))).mean(1) >= least)
                 yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agreement(queries: pa.Table, members: pa.Table):
+def _agreement(queries: pa.Table, members: pa.Table, least: float):
     """Row by row of the queries: the members of other components that promise a link, the best first.
 
     A pair that shares several buckets is looked at in the one of the lowest band alone.
@@ -235,9 +267,9 @@ def _agreement(queries: pa.Table, members: pa.Table):
     band = int((qb[0] == queries.column("key")[0].as_py()).argmax())
     for at in range(0, len(q), 32):
         share = (q[at : at + 32, None] == v[None]).mean(2)
-        share[qc[at : at + 32, None] == vc[None]] = 0
+        share[qc[at : at + 32, None] == vc[None]] = -1
         for i in range(len(share)):
-            found = np.flatnonzero(share[i] >= PROMISING)
+            found = np.flatnonzero(share[i] >= least)
             found = found[~(vb[found, :band] == qb[at + i, :band]).any(1)]
             yield at + i, found[np.argsort(-share[i, found], kind="stable")]
 
@@ -250,7 +282,7 @@ def _pairs(a: list[int], b: list[int]) -> pa.Table:
     return pa.table([np.minimum(x, y), np.maximum(x, y)], schema=_PAIR)
 
 
-def _block_links(queries: pa.Table, members: pa.Table) -> pa.Table:
+def _block_links(queries: pa.Table, members: pa.Table, least: float) -> pa.Table:
     """Links between a block's queries and members, verified on their texts, as many as join components.
 
     A pair is left out only if its components are joined already.
@@ -274,7 +306,7 @@ def _block_links(queries: pa.Table, members: pa.Table) -> pa.Table:
         return c
 
     a, b = [], []
-    for i, found in _agreement(queries, members):
+    for i, found in _agreement(queries, members, least):
         for j in found.tolist():
             x, y = root(qc[i]), root(vc[j])
             if x != y and similarity(bag_of("q", i), bag_of("v", j)) >= SIMILARITY:
@@ -285,13 +317,13 @@ def _block_links(queries: pa.Table, members: pa.Table) -> pa.Table:
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (key, id, score, n) with class and main, of the buckets that hold several components.
+    """members (key, id, score, n, chars) with class and main, of the buckets that hold several components.
 
     main: the class of the bucket's best-connected member.
     """
     known = members.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"))
-    return known.join(mixed.filter("lo <> hi").select("key", "main"), "key")
+    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"), F.first("n").alias("_n"))
+    return join_hot(known, mixed.filter("lo <> hi").select("key", "main", "_n"), "_n").drop("_n")
 
 
 def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], side: DataFrame) -> DataFrame:
@@ -301,16 +333,17 @@ def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.T
     rows; a bucket of one block, nearly all of them, sends each member once.
     """
     many = open_.filter(F.col("n") > SMALL_BUCKET)
-    small_batches(open_.sparkSession)
+    python_ready(open_.sparkSession)
     asks = F.col("class") != F.col("main")
-    sizes = many.groupBy("key").agg(F.ceil(F.count_if(asks) / BLOCK).cast("int").alias("qb"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
+    blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS)).cast("int")
+    sizes = many.groupBy("key").agg(blocks(F.count_if(asks), F.sum(F.when(asks, F.col("chars")).otherwise(0))).alias("qb"), blocks(F.count(F.lit(1)), F.sum("chars")).alias("vb"), F.first("n").alias("_n"))
     spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}  # ids are dealt to blocks by a hash
     all_v, all_q = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("vb", "qb"))
     as_query = F.transform(all_v, lambda v: F.struct(spread["qb"].alias("q"), v.alias("v"), F.lit("q").alias("role")))
     as_member = F.transform(all_q, lambda q: F.struct(q.alias("q"), spread["vb"].alias("v"), F.lit("v").alias("role")))
     alone = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("v"), F.when(asks, "b").otherwise("v").alias("role")))
     places = F.when((F.col("qb") == 1) & (F.col("vb") == 1), alone).when(asks, F.concat(as_query, as_member)).otherwise(as_member)
-    rows = many.join(sizes, "key").select("key", "id", "class", F.inline(places)).join(side, "id").select("key", "q", "v", "role", *columns)
+    rows = join_hot(many, sizes, "_n").select("key", "id", "class", F.inline(places)).join(side, "id").select("key", "q", "v", "role", *columns)
 
     def run(group: pa.Table) -> pa.Table:
         role = group.column("role")
@@ -319,56 +352,61 @@ def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.T
     return rows.groupBy("key", "q", "v").applyInArrow(run, "a long, b long").distinct()
 
 
-def remaining_pairs(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+def remaining_pairs(open_: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Promising pairs (a < b) across components that share a small bucket."""
-    few = open_.filter(F.col("n") <= SMALL_BUCKET)
-    other = few.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
-    small = few.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return promising(small, sigs)
+    little = open_.filter(F.col("n") <= SMALL_BUCKET)
+    other = little.filter("class <> main").select("key", F.col("id").alias("other"), F.col("class").alias("other_class"))
+    small = little.join(other, "key").filter("class <> other_class").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return promising(small, sigs, least)
 
 
-def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Verified links (a < b) that join the components left in large buckets."""
     large = open_.filter(F.col("n") > SMALL_BUCKET)
     ids = checkpointed(large.select("id").distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few, "id", "left_semi")
-    return _by_blocks(large, ["id", "class", "sig", "text"], _block_links, sigs.join(texts, "id"))
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few(ids), "id", "left_semi")
+    return _by_blocks(large, ["id", "class", "sig", "text"], lambda q, v: _block_links(q, v, least), sigs.join(texts, "id"))
 
 
 def _made_ids(texts: DataFrame, used: DataFrame) -> DataFrame:
-    """texts (doc_id, h1, h2) with an id of its own for each, none of which is used."""
+    """texts (doc_id, h1, h2) with an id of its own for each, none of which is used (id)."""
     salt = 0
     while True:
         made = checkpointed(texts.withColumn("id", F.xxhash64(F.lit(salt), "doc_id", "h1", "h2")))
-        met = made.select("id").unionByName(used.select(F.col("doc_id").alias("id"))).groupBy("id").count().filter("count > 1")
+        met = made.select("id").unionByName(used).groupBy("id").count().filter("count > 1")
         if made.join(met, "id", "left_semi").isEmpty():
             return made
         salt += 1
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
+
+
+def _own_ids(docs: DataFrame, odd: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text) without the odd ids; (doc_id, text) with a made id a text of those; (doc_id, h1, h2, id)."""
+    odd = few(odd)
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    plain = docs.select("doc_id", "text").join(odd, same, "left_anti")
+    several = _hashed(docs.select("doc_id", "text").join(odd, same, "left_semi"))
+    ids = few(_made_ids(several.select("doc_id", "h1", "h2").distinct(), docs.select(F.col("doc_id").alias("id")).distinct()))
+    named = several.join(ids.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")) & (several.h1 == ids.h1) & (several.h2 == ids.h2))
+    return plain, checkpointed(named.select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"])), ids
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = PROMISING) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the smallest doc_id of its class.
 
     A repeated doc_id may stand for several texts.  Each of them is classed under an id of its own,
-    and the classes that one doc_id belongs to are united at the end.
+    and the classes that one doc_id belongs to are united at the end.  least: see PROMISING.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = docs.filter("doc_id is not null").groupBy("doc_id").count()
-    again = checkpointed(sizes.filter("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return _classes(docs)
-    repeated = _few(again)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    several = docs.join(repeated, "doc_id", "left_semi").select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-    made = _made_ids(several.select("doc_id", "h1", "h2").distinct(), sizes)
-    ids = _few(made)
-    apart = checkpointed(several.join(ids, ["doc_id", "h1", "h2"]).select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
-    classes = _classes(docs.join(repeated, "doc_id", "left_anti").unionByName(apart)).filter("doc_id is not null")
+    odd = odd_rows(docs, "doc_id").filter("odd_id is not null")
+    if odd.isEmpty():
+        return _classes(docs, least)
+    plain, apart, ids = _own_ids(docs, odd)
+    classes = _classes(plain.unionByName(apart), least).filter("doc_id is not null")
     for c in ("doc_id", "class_id"):  # back from the ids made; a class's id is one of its members'
         origin = ids.select(F.col("id").alias(c), F.col("doc_id").alias("origin"))
         classes = classes.join(origin, c, "left").withColumn(c, F.coalesce("origin", c)).drop("origin")
@@ -376,55 +414,73 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(united.toDF("doc_id", "class_id"), "doc_id", "left")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     """near_duplicate_classes of rows none of which repeats a doc_id."""
     rows = checkpointed(signature_rows(docs))
     known = rows.filter("digest is not null and doc_id is not null")
     # Equal multisets have equal bands: any row's will do, combined before the shuffle.
-    reps = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    reps = checkpointed(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.max("chars").alias("chars")))
     folded = reps.select("digest", F.col("doc_id").alias("id"))
-    buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"), "chars")
+    sizes = checkpointed(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     score = F.sum("n").over(Window.partitionBy("id"))  # over a text's bands
-    members = checkpointed(buckets.join(sizes, "key").select("key", "id", score.alias("score"), "n"))
+    members = checkpointed(join_hot(buckets, sizes, "n").select("key", "id", score.alias("score"), "n", "chars"))
     sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi"))
 
-    release(docs.sparkSession)
-    hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("b"))
-    stars = members.join(hub, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = checkpointed(promising(stars, sigs))
+    hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"), F.first("n").alias("_n")).select("key", (-F.col("top.minus")).alias("b"), "_n")
+    stars = join_hot(members, hub, "_n").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    stars = checkpointed(promising(stars, sigs, least))
     links = checkpointed(verified(stars, docs))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links)
-    release(docs.sparkSession)
     open_ = checkpointed(_open_buckets(members, labels))
     if not open_.isEmpty():
-        pairs = checkpointed(remaining_pairs(open_, sigs).join(tried, ["a", "b"], "left_anti"))
+        pairs = checkpointed(remaining_pairs(open_, sigs, least).join(tried, ["a", "b"], "left_anti"))
         links = checkpointed(links.unionByName(verified(pairs, docs)))
         large = members.filter(F.col("n") > SMALL_BUCKET)
         if not large.isEmpty():
             labels = components(links)
-            release(docs.sparkSession)
             open_ = checkpointed(_open_buckets(large, labels))
-            links = links.unionByName(block_links(open_, sigs, docs))
+            links = links.unionByName(block_links(open_, sigs, docs, least))
         labels = components(links)
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))
     return rows.select("doc_id", "digest").join(folded, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
 
 
-def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that repeat another: of each class the smallest doc_id stays.
+def one_of_each_class(docs: DataFrame, least: float = PROMISING) -> DataFrame:
+    """The rows of docs without those that repeat another; all columns as they are.
 
-    A row without doc_id stays.  Of rows with the same doc_id one stays, any.
+    Here every text is a document of its own, whatever its doc_id: unlike texts under one doc_id,
+    or under none, are all kept unless they repeat another text.  Of each class the row with the
+    smallest doc_id stays (one without a doc_id last), of several texts of that id the one whose
+    hash is smallest.  Of rows equal in doc_id and text one stays, by the hash of all its columns;
+    rows without a doc_id and without a word all stay.
     """
-    classes = checkpointed(near_duplicate_classes(docs))
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    if not classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept.select(docs.columns)
+    odd = odd_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id")
+    if odd.isEmpty():
+        classes = checkpointed(_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least))
+        gone = checkpointed(classes.filter("class_id <> doc_id").select("doc_id"))
+        return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    ours = all_columns(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    kept = [c for c in ours.columns if c.startswith("_k")]
+    plain, apart, ids = _own_ids(ours, odd)
+    classes = _classes(plain.unionByName(apart), least)
+    named = classes.join(ids.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("own"), F.lit(True).alias("made")), "doc_id", "left")
+    named = named.withColumn("own", F.when(F.col("made"), F.col("own")).otherwise(F.col("doc_id")))
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id"))["doc_id"].alias("id"))
+    stay = checkpointed(first.select("id"))
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    one = ours.join(few(odd), same, "left_anti").join(stay, F.col("doc_id") == F.col("id"), "left_semi").select(kept)
+    several = _hashed(ours.join(few(odd), same, "left_semi"))
+    lone = several.filter(F.col("doc_id").isNull() & ~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"(?U)[\p{L}\p{Nd}\p{N}_]")))
+    rest = several.filter(F.col("doc_id").isNotNull() | F.rlike(F.coalesce("text", F.lit("")), F.lit(r"(?U)[\p{L}\p{Nd}\p{N}_]")))
+    staying = ids.withColumnRenamed("doc_id", "own").join(stay, "id", "left_semi")
+    whole = F.struct(*kept)
+    rest = rest.join(staying, F.col("doc_id").eqNullSafe(F.col("own")) & (rest.h1 == staying.h1) & (rest.h2 == staying.h2))
+    rest = rest.groupBy("id").agg(F.min_by(whole, F.md5(F.to_json(whole))).alias("_row")).select("_row.*")
+    out = one.unionByName(rest).unionByName(lone.select(kept))
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
