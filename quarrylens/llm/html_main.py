@@ -1,8 +1,8 @@
 """Main-text extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags.  Every block gets a vector
-of its tag path (hashed names, classes and ids of the open elements), of its words (hashed) and of
-its shape.  A bidirectional LSTM, written in numpy, reads a page's whole sequence of blocks and
+of its tag path (hashed names, classes and ids of the open elements), of its words (all of them
+hashed, scaled by the root of their number) and of its shape.  A bidirectional LSTM, written in numpy, reads a page's whole sequence of blocks and
 labels each as main text or not, so a block is judged in the context of the document.
 
 The network is trained here, on pages that a seeded generator composes from articles, menus,
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import mapped_texts, table
 
-PATH, WORDS, SHAPE, INNER, HIDDEN = 160, 24, 10, 32, 20
+PATH, WORDS, SHAPE, INNER, HIDDEN = 160, 32, 10, 32, 20
 #: Blocks that the network reads at once; pages of similar length go together.
 BATCH_BLOCKS = 8_192
 TRAINING_PAGES, EPOCHS, BATCH, RATE = 4_000, 9, 16, 0.006
@@ -158,16 +158,33 @@ def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     return np.tanh(v)
 
 
+#: What words a worker remembers the slots of, at most.
+_REMEMBERED = 200_000
+_slots: dict[str, int] = {}
+
+
+def word_vector(text: str) -> np.ndarray:
+    """The sum of the signed slots of all words of a block, scaled by the root of their number and bounded."""
+    words = text.lower().split()
+    slots = list(map(_slots.get, words))
+    if None in slots:
+        if len(_slots) > _REMEMBERED:
+            _slots.clear()
+        for k, s in enumerate(slots):
+            if s is None:
+                h = zlib.crc32(words[k].strip(".,;:!?()\"'").encode("utf-8", "surrogatepass"))
+                slots[k] = _slots[words[k]] = h % WORDS + WORDS * (h >> 31)  # the upper half counts down
+    n = np.bincount(slots, minlength=2 * WORDS)
+    return np.tanh((n[:WORDS] - n[WORDS:]) / (2 * math.sqrt(max(1, len(words)))))
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, shape."""
     x = np.zeros((len(page), PATH + WORDS + SHAPE), dtype=np.float32)
     for r, b in enumerate(page):
         x[r, :PATH] = _path_vector(b.path)
-        words = b.text.split()
-        for w in words[:8] + words[-4:]:
-            i, sign = _slot("word", w.lower().strip(".,;:!?()\"'"), WORDS)
-            x[r, PATH + i] += 0.3 * sign
-        n, c = len(words), len(b.text)
+        x[r, PATH : PATH + WORDS] = word_vector(b.text)
+        n, c = len(b.text.split()), len(b.text)
         x[r, PATH + WORDS :] = (
             math.log1p(n) / 5, math.log1p(c) / 8, b.linked, sum(b.text.count(p) for p in ".,;") / n, b.text[-1] in ".!?", "©" in b.text,
             n < 4, len(b.path) / 10, r / len(page), b.tag in ("p", "h1", "h2"),
@@ -276,16 +293,46 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # ---- training pages -------------------------------------------------------------------------
 
 
+# Words that are common in parts of pages that are not their main text; and words of any text.
+_TYPICAL = {
+    "notice": "cookies improve experience site accept decline settings consent policy subscribe newsletter updates sign free weekly inbox alert close".split(),
+    "advert": "buy now sale offer limited discount sponsored advertisement shop deal save best price shipping order click promoted partner".split(),
+    "form": "name email password search submit send login register message phone address required select option remember forgot".split(),
+    "comments": "thanks great post reply agree comment comments nice like report anonymous guest wrote ago minutes".split(),
+    "menu": "home about contact news products services blog help login sitemap archive category next previous back top".split(),
+    "footer": "rights reserved privacy terms copyright imprint legal company inc ltd powered contact".split(),
+    "sidebar": "related recent popular trending read tags archives recommended follow share categories links".split(),
+}
+_PLAIN = "the of and to in is it for on with this that we use your all you by from first more most up has der die das und le la les de des et el los un una en es".split()
+
+
 class PageWriter:
-    """Composes pages whose main blocks are known: each of their words begins with a mark."""
+    """Composes pages whose main blocks are known: each of their words begins with a mark.
+
+    Half of the words of other parts are typical of them, and now and then the main text uses them too.
+    """
 
-    MARK = ""
+    MARK = "\ue000"
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.typical: list[str] = []
+        self.common = 0.2
+        self.every = [w for words in _TYPICAL.values() for w in words]
+
+    def part(self, kind: str, write) -> str:
+        """What write() composes with the words of one part of a page."""
+        before, self.typical = self.typical, _TYPICAL[kind] if self.r.random() < 0.6 else []
+        out = write()
+        self.typical = before
+        return out
 
     def word(self) -> str:
         r = self.r
+        if self.typical and r.random() < 0.5:
+            return r.choice(self.typical)
+        if r.random() < self.common:
+            return r.choice(self.every if r.random() < 0.2 else _PLAIN)
         return "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ü", "é", "ña", "sch")) for _ in range(r.randint(1, 4)))
 
     def words(self, n: int, junk: float = 0.0) -> str:
@@ -293,6 +340,8 @@ class PageWriter:
 
     def prose(self, junk: float = 0.0) -> str:
         r = self.r
+        if r.random() < 0.04:  # a word over and over, or shouting
+            return f"{self.word()} " * r.choice((3, 30, 200)) if r.random() < 0.5 else self.words(r.randint(3, 40), junk).upper()
         return " ".join(self.words(r.randint(1, 14), junk).capitalize() + r.choice((".", ".", ".", "!", "?", ",")) for _ in range(r.choice((1, 1, 2, 3, 6))))
 
     def main(self, text: str) -> str:
@@ -308,6 +357,13 @@ class PageWriter:
         return f"<{tag}{attr}>{inner}" + ("" if r.random() < 0.005 else f"</{tag}>")
 
     def article(self) -> str:
+        r = self.r
+        before, self.common = self.common, r.choice((0, 0.1, 0.3, 0.6, 0.9))
+        out = self._article()
+        self.common = before
+        return out
+
+    def _article(self) -> str:
         r = self.r
         junk = r.choice((0, 0, 0, 0.3, 0.9))
         parts = []
@@ -345,6 +401,9 @@ class PageWriter:
         return f"<div>{inner}</div>"
 
     def menu(self) -> str:
+        return self.part("menu", self._menu)
+
+    def _menu(self) -> str:
         r = self.r
         items = "".join(f"<li>{self.link(self.words(r.randint(1, 3)))}</li>" for _ in range(r.randint(2, 9)))
         inner = f"<ul>{items}</ul>" if r.random() < 0.8 else " ".join(self.link(self.word()) for _ in range(r.randint(2, 6)))
@@ -355,29 +414,47 @@ class PageWriter:
         return f"<header>{inner}</header>" if self.r.random() < 0.7 else self.classed("div", ("header", "masthead", "top", "banner", "logo"), inner)
 
     def footer(self) -> str:
+        return self.part("footer", self._footer)
+
+    def _footer(self) -> str:
         r = self.r
         inner = r.choice(("&copy; ", "", "&copy; ")) + r.choice((f"{self.word()}.example.com &middot; {self.prose()}", f"<p>{self.prose()}</p>", self.menu(), self.words(5)))
         return f"<footer>{inner}</footer>" if r.random() < 0.7 else self.classed("div", ("footer", "copyright", "legal", "bottom"), inner)
 
     def advert(self) -> str:
+        return self.part("advert", self._advert)
+
+    def _advert(self) -> str:
         inner = self.r.choice((self.prose(), f"<p>{self.prose()}</p>", self.link(self.words(4)), f"<h3>{self.words(3)}</h3><p>{self.prose()}</p>"))
         return self.classed(self.r.choice(("div", "div", "aside", "section", "p")), ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner"), inner)
 
     def sidebar(self) -> str:
+        return self.part("sidebar", self._sidebar)
+
+    def _sidebar(self) -> str:
         r = self.r
         inner = r.choice((f"<h3>{self.words(2)}</h3>", "")) + r.choice((f"<ul>{''.join(f'<li>{self.link(self.words(3))}</li>' for _ in range(r.randint(1, 6)))}</ul>", f"<p>{self.prose()}</p>", f"<p>{self.prose()}</p><p>{self.prose()}</p>"))
         return f"<aside>{inner}</aside>" if r.random() < 0.5 else self.classed("div", ("sidebar", "related", "widget", "recommended", "trending", "more"), inner)
 
     def notice(self) -> str:
+        return self.part("notice", self._notice)
+
+    def _notice(self) -> str:
         inner = self.r.choice((self.prose(), f"<p>{self.prose()}</p>", f"{self.prose()} <button>{self.word()}</button>"))
         return self.classed(self.r.choice(("div", "section", "p")), ("cookie", "notice", "consent", "alert", "popup", "newsletter", "subscribe", "banner", "gdpr"), inner)
 
     def form(self) -> str:
+        return self.part("form", self._form)
+
+    def _form(self) -> str:
         r = self.r
         inner = "".join(r.choice((f"<label>{self.words(2)}</label><input type=text>", f"<button>{self.word()}</button>", f"<select><option>{self.word()}<option>{self.word()}</select>", f"<p>{self.prose()}</p>", f"{self.words(3)} <input>")) for _ in range(r.randint(1, 4)))
         return f"<form action='/x'>{inner}</form>"
 
     def comments(self) -> str:
+        return self.part("comments", self._comments)
+
+    def _comments(self) -> str:
         r = self.r
         one = lambda: r.choice((f"<p>{self.prose()}</p>", f"<div><b>{self.word()}</b> <p>{self.prose()}</p></div>", f"<li>{self.prose()}</li>"))
         inner = r.choice((f"<h2>{self.words(1)}</h2>", "")) + "".join(one() for _ in range(r.randint(1, 6)))
