@@ -1,43 +1,53 @@
 """Stupid-backoff language-model scores from relational n-gram count tables.
 
-Documents are dealt to blocks by a hash of their id.  Each block explodes its n-grams and combines
-equal ones; the combined rows go to hash partitions (buckets), where the blocks' tables are joined
-into one count table, and each block gets the counts of its own n-grams back.  There every word is
-scored and the logarithms are summed per document.  An n-gram that every document holds is one row
-a block, never one a document, so no bucket is hot.
+The n-grams of all documents are exploded to a relation (block, bucket, n-gram, count): a document
+lies in a block, an n-gram in a bucket, each by a hash.  Equal n-grams of a block are combined
+before they are shuffled, so one that every document holds is one entry a block and no bucket is
+hot.  Grouped by bucket they are summed to count tables, partitioned by hash; the tables are joined
+with the exploded n-grams on bucket and n-gram, and the totals go back to the blocks, where every
+word is scored and the logarithms are summed per document.
+
+Rows are narrow and many (three n-grams a word), so the entries of one block and bucket travel as
+one packed row: sorted codes as differences in byte planes, compressed.  One row an n-gram and
+document would be 324 million rows of 24 bytes for 0.5 GB of documents, 15 times the input.  Packed
+rows are never more than the n-grams of the blocks.
 
 Counts leave out the document that is scored (its own n-grams don't vouch for it).  A word's score
 is c(w1 w2 w3) / c(w1 w2) if the trigram occurs elsewhere, else BACKOFF x c(w2 w3) / c(w2), else
 BACKOFF^2 x c(w3) / N, where a word that occurs nowhere else counts half; N is the number of words
 elsewhere.  The first two words have shorter contexts and no penalty for it.
 
-n-grams are 42-bit codes within a bucket.  A bucket holds about two million of them, whatever the
-input, so among one bucket's n-grams less than one pair is expected to share a code.
+Within its bucket an n-gram is a code of CODE_BITS bits; bucket and code come from different mixes
+of a 64-bit hash.  Buckets are sized by characters: BUCKET_CHARS of text have at most 6 million
+n-grams, among which 0.0003 pairs are expected to share a code, whatever the size of the corpus.
 
 Defined results: a text that is null or without a word has 0 words, score 0 and a null mean; rows
-with a repeated doc_id are scored each on its own, leaving out its own counts; a null doc_id hashes
-like any other; an empty table gives an empty result; extra columns are ignored.
+with a null or repeated doc_id are scored each on its own, leaving out its own counts; ties and
+order play no part; very long texts are read whole, a block holds at least one; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import few, odd_rows, python_ready, table
 from .text import code_points, mix, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-DOCS_PER_BLOCK = 2_048
-#: Documents whose blocks' n-grams one bucket takes a share of: buckets grow in number, not in size.
-DOCS_PER_BUCKET = 2_048
+#: Characters of text that a block holds, on average, and whose n-grams a bucket holds: both grow in number, not in size.
+BLOCK_CHARS, BUCKET_CHARS = 6 << 20, 4 << 20
+CODE_BITS = 56
+#: Equal rows that are spread over so many parts at a time.
+PORTION = 1_000
 
 _U = np.uint64
-_CODE, _LOW = _U(42), _U((1 << 42) - 1)
 _SALT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_BUCKET_SALT = _U(0xE7037ED1A0B428DB)
 
 
 def grams(text: str, order: int) -> list[np.ndarray]:
@@ -49,115 +59,188 @@ def grams(text: str, order: int) -> list[np.ndarray]:
     return out
 
 
-def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket above the code, in one 64-bit number that sorts by bucket."""
-    return ((h >> _CODE) % _U(buckets)) << _CODE | (h & _LOW)
+class Block:
+    """The n-grams of some texts: the different ones, each text's share of them, and where they occur.
+
+    values: sorted hashes; counts: how often each occurs; at: of each text and order the positions'
+    places in values.
+    """
+
+    def __init__(self, texts: list[str], order: int):
+        own = [grams(t, order) for t in texts]
+        parts = [g for o in own for g in o]
+        every = np.concatenate([np.empty(0, dtype=_U), *parts])
+        self.n_words = [len(o[0]) for o in own]
+        self.values, places, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(g) for g in parts])
+        cut = np.split(places.astype(np.int32), ends[:-1]) if parts else []
+        self.at = [cut[i * order : (i + 1) * order] for i in range(len(texts))]
+
+    def scores(self, totals: np.ndarray, all_words: int) -> list[tuple[int, float]]:
+        """(words, summed natural logarithm of the scores) of each text, leaving out its own counts; totals: of values."""
+        out = []
+        mine = np.zeros(len(self.values), dtype=np.int64)
+        for n, at in zip(self.n_words, self.at, strict=True):
+            if not n:
+                out.append((0, 0.0))
+                continue
+            for a in at:
+                np.add.at(mine, a, 1)
+            left = [totals[a] - mine[a] for a in at]  # counts elsewhere, at each position
+            for a in at:
+                mine[a] = 0
+            score = np.maximum(left[0], 0.5) / max(all_words - n, 1)
+            for k in range(1, len(at)):
+                if n > k:
+                    context = left[k - 1][:-1]
+                    seen = (left[k] > 0) & (context > 0)
+                    score[k:] = np.where(seen, left[k] / np.maximum(context, 1), BACKOFF * score[k:])
+            out.append((n, float(np.log(score).sum())))
+        return out
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(hashes ^ _BUCKET_SALT) % _U(buckets)).astype(np.int64)
+
+
+def codes(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> _U(64 - CODE_BITS)
+
+
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """64-bit numbers as eight byte planes: small ones leave planes of zeros, which compress."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers as eight byte planes, each compressed by itself: small numbers leave planes of zeros."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8
+    while used and not planes[used - 1].any():
+        used -= 1
+    parts = [len(x).to_bytes(4, "little"), bytes([used])]
+    for p in planes[:used]:
+        small = _ZSTD.compress(p.tobytes(), asbytes=True)
+        parts += [len(small).to_bytes(4, "little"), small]
+    return b"".join(parts)
 
 
 def unpack_numbers(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
-
-
-def block_table(texts: list[str], order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The block's distinct n-grams as sorted bucket-codes, their counts, and the number of words."""
-    parts, n_words = [np.empty(0, dtype=_U)], 0
-    for t in texts:
-        own = grams(t, order)
-        n_words += len(own[0])
-        parts += [_codes(g, buckets) for g in own]
-    every = np.concatenate(parts)
-    del parts
-    every.sort()
+    n, used, at = int.from_bytes(b[:4], "little"), b[4], 5
+    planes = np.zeros((8, n), dtype=np.uint8)
+    for k in range(used):
+        size = int.from_bytes(b[at : at + 4], "little")
+        planes[k] = np.frombuffer(_ZSTD.decompress(b[at + 4 : at + 4 + size], decompressed_size=n), dtype=np.uint8)
+        at += 4 + size
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def sum_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted codes, summed counts) of lists (codes, counts)."""
+    every = np.concatenate([np.empty(0, dtype=_U), *(c for c, _ in lists)])
+    counts = np.concatenate([np.empty(0, dtype=np.int64), *(n.astype(np.int64) for _, n in lists)])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), dtype=bool), every[1:] != every[:-1])))
-    return every[first], np.diff(np.append(first, len(every))), n_words
-
-
-def score_block(texts: list[str], order: int, buckets: int, codes: np.ndarray, totals: np.ndarray, all_words: int) -> list[tuple[int, float]]:
-    """(words, summed natural logarithm of the scores) of each text, leaving out its own counts."""
-    out = []
-    for text in texts:
-        own = [_codes(g, buckets) for g in grams(text, order)]
-        n = len(own[0])
-        if not n:
-            out.append((0, 0.0))
-            continue
-        left = []
-        for g in own:  # counts elsewhere, at each position
-            values, back, mine = np.unique(g, return_inverse=True, return_counts=True)
-            at = np.searchsorted(codes, values)
-            left.append((totals[at].astype(np.int64) - mine)[back])
-        score = np.maximum(left[0], 0.5) / max(all_words - n, 1)
-        for k in range(1, order):
-            if n > k:
-                context = left[k - 1][:-1]
-                seen = (left[k] > 0) & (context > 0)
-                score[k:] = np.where(seen, left[k] / np.maximum(context, 1), BACKOFF * score[k:])
-        out.append((n, float(np.log(score).sum())))
-    return out
+    return every[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+_LISTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+_TABLE = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+_TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+#: The bucket of an entry that counts the words of a block.
+WORDS = -1
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _lists(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.cumsum(unpack_numbers(c), dtype=_U), unpack_numbers(n)) for c, n in zip(group.column("codes").to_pylist(), group.column("counts").to_pylist(), strict=True)]
+
 
+def exploded_ngrams(dealt: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(block, bucket, codes, counts): the n-grams of the texts of each block, by bucket; dealt: (doc_id, text, block)."""
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, n_docs: int | None = None) -> DataFrame:
+    def explode(group: pa.Table) -> pa.Table:
+        number = group.column("block")[0].as_py()
+        block = Block(group.column("text").to_pylist(), order)
+        bucket = bucket_of(block.values, buckets)
+        by_bucket = np.argsort(bucket, kind="stable")  # keeps the hashes sorted within
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        rows = [(number, WORDS, pack_numbers(np.zeros(1)), pack_numbers(np.array([sum(block.n_words)])))]
+        for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            if b > a:
+                at = by_bucket[a:b]
+                rows.append((number, k, pack_numbers(np.diff(codes(block.values[at]), prepend=_U(0))), pack_numbers(block.counts[at])))
+        return _rows(_LISTED, rows)
+
+    return dealt.groupBy("block").applyInArrow(explode, "block long, bucket long, codes binary, counts binary")
+
+
+def count_tables(listed: DataFrame) -> DataFrame:
+    """(bucket, codes, counts): how often each n-gram occurs in all blocks, partitioned by hash."""
+
+    def add(group: pa.Table) -> pa.Table:
+        values, counts = sum_lists(_lists(group))
+        return _rows(_TABLE, [(group.column("bucket")[0].as_py(), pack_numbers(np.diff(values, prepend=_U(0))), pack_numbers(counts))])
+
+    return listed.groupBy("bucket").applyInArrow(add, "bucket long, codes binary, counts binary")
+
+
+def joined_counts(listed: DataFrame) -> DataFrame:
+    """(block, bucket, totals): each block's n-grams joined with the count tables on bucket and n-gram.
+
+    The table of a bucket is summed where its n-grams lie, so the join needs no second shuffle.
+    """
+
+    def join(group: pa.Table) -> pa.Table:
+        lists = _lists(group)
+        values, counts = sum_lists(lists)
+        rows = [(block, bucket, pack_numbers(counts[np.searchsorted(values, own)])) for block, bucket, (own, _) in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), lists, strict=True)]
+        return _rows(_TOTALS, rows)
+
+    return listed.groupBy("bucket").applyInArrow(join, "block long, bucket long, totals binary")
+
+
+def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, text, block) of every row: by a hash of id and text.
+
+    Equal rows under a null or repeated doc_id are counted and dealt out again by their number.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    place = lambda *c: F.pmod(F.xxhash64("doc_id", "text", *c), F.lit(blocks)).alias("block")
+    odd = odd_rows(own, "doc_id")
+    if odd.isEmpty():
+        return own.select("doc_id", "text", place())
+    odd, same = few(odd), F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    several = own.join(odd, same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("m"))
+    portions = several.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PORTION)))).repartition("doc_id", "portion")
+    rank: Column = F.explode(F.sequence(F.col("portion") * PORTION, F.least(F.col("m"), (F.col("portion") + 1) * PORTION) - 1))
+    ranked = portions.withColumn("rank", rank)
+    return own.join(odd, same, "left_anti").select("doc_id", "text", place()).unionByName(ranked.select("doc_id", "text", place(F.col("rank"))))
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, n_chars: int | None = None) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row."""
-    small_batches(docs.sparkSession)
-    n_docs = docs.count() if n_docs is None else n_docs
-    blocks, buckets = max(1, -(-n_docs // DOCS_PER_BLOCK)), max(1, -(-n_docs // DOCS_PER_BUCKET))
-    dealt = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 32)), F.lit(blocks)).alias("block"),
-    )
-    table_schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
-
-    def ordered(t: pa.Table) -> list[str]:
-        return t.column("text").to_pylist()
-
-    def count(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        codes, counts, n_words = block_table(ordered(group), order, buckets)
-        key = codes >> _CODE
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, dtype=int)
-        ends = np.append(cuts[1:], len(key))
-        rows = [(block, -1, b"", pack_numbers(np.array([n_words])))]
-        for a, b in zip(cuts, ends, strict=False):
-            low = codes[a:b] & _LOW
-            rows.append((block, int(key[a]), pack_numbers(np.diff(low, prepend=_U(0))), pack_numbers(counts[a:b])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), table_schema, strict=True)], schema=table_schema)
-
-    def merge(group: pa.Table) -> pa.Table:
-        codes = [unpack_numbers(b) for b in group.column("codes").to_pylist()]
-        if group.column("bucket")[0].as_py() == -1:  # the number of words, of every block alike
-            total = sum(int(unpack_numbers(b)[0]) for b in group.column("counts").to_pylist())
-            sent = [pack_numbers(np.array([total]))] * len(codes)
-        else:
-            codes = [np.cumsum(c) for c in codes]
-            counts = [unpack_numbers(b).astype(np.int64) for b in group.column("counts").to_pylist()]
-            values, back = np.unique(np.concatenate(codes), return_inverse=True)
-            total = np.zeros(len(values), dtype=np.int64)
-            np.add.at(total, back, np.concatenate(counts))
-            sent, at = [], 0
-            for c in codes:
-                sent.append(pack_numbers(total[back[at : at + len(c)]]))
-                at += len(c)
-        return pa.Table.from_arrays([group.column("block"), group.column("bucket"), pa.array(sent, pa.binary())], names=["block", "bucket", "totals"])
-
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
-
-    def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        whole = ordered(texts)
-        codes, _, _ = block_table(whole, order, buckets)
-        parts = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), strict=True))
-        numbers = [unpack_numbers(b) for _, b in parts]
-        all_words = int(numbers[0][0])
-        counts = np.concatenate(numbers[1:]) if len(numbers) > 1 else np.empty(0, dtype=np.uint64)
-        found = score_block(whole, order, buckets, codes, counts, all_words)
-        return pa.Table.from_arrays([texts.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], schema=result)
-
-    tables = dealt.groupBy("block").applyInArrow(count, "block long, bucket long, codes binary, counts binary")
-    totals = tables.groupBy("bucket").applyInArrow(merge, "block long, bucket long, totals binary")
+    python_ready(docs.sparkSession)
+    if n_chars is None:
+        n_chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    buckets = max(1, -(-n_chars // BUCKET_CHARS))
+    dealt = _dealt(docs, max(1, -(-n_chars // BLOCK_CHARS)))
+    listed = exploded_ngrams(dealt, order, buckets)
+    totals = joined_counts(listed)
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        block = Block(texts.column("text").to_pylist(), order)
+        parts = {k: unpack_numbers(t).astype(np.int64) for k, t in zip(found.column("bucket").to_pylist(), found.column("totals").to_pylist(), strict=True)}
+        counts = np.zeros(len(block.values), dtype=np.int64)
+        by_bucket = np.argsort(bucket_of(block.values, buckets), kind="stable")
+        counts[by_bucket] = np.concatenate([np.empty(0, dtype=np.int64), *(parts[k] for k in sorted(parts) if k != WORDS)])
+        scored = block.scores(counts, int(parts[WORDS][0]))
+        return pa.Table.from_arrays([texts.column("doc_id"), pa.array([s[0] for s in scored], pa.int64()), pa.array([s[1] for s in scored], pa.float64())], schema=_SCORED)
+
     scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
