@@ -8,9 +8,10 @@ ever share a bucket, each fingerprint there gets a suffix of its own, so equal f
 always mean equal canonical bytes.
 
 Defined results: a null text counts as an empty one; equal texts have equal fingerprints; rows
-with a repeated doc_id are each kept and follow one another by the digest of their text; a row
-without doc_id comes before all others; an empty table gives an empty result; extra columns are
-ignored whatever their names.  The likeness of two exact digests is 1 or 0.
+with a repeated doc_id are each kept and follow one another by a hash of their text, equal ones in
+a row; a row without doc_id comes before all others; very long texts are read and edited whole; an
+empty table gives an empty result; extra columns are ignored whatever their names.  The likeness of
+two exact digests is 1 or 0.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import BROADCAST_ROWS, checkpointed, few, odd_rows, table
 
-#: Shared digests up to this number (40 bytes each) are broadcast; more of them go by a shuffle join.
-BROADCAST_DIGESTS = 1_000_000
-#: Ranges of doc_id that the neighbour window is cut into, at most.
+#: Ranges of rows that the neighbour window is cut into, at most: their bounds are one small broadcast.
 MAX_CELLS = 100_000
 ROWS_PER_CELL = 1_000
+#: Equal rows that one task writes at a time.
+PORTION = 50_000
 
 _SECOND_SEED = 0x5DEECE66D1234567
 
@@ -48,7 +49,7 @@ def digest(canon: Column) -> Column:
 def among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """The rows whose column is in wanted (one column, checkpointed): by broadcast if it is small."""
     side = wanted.select(F.col(wanted.columns[0]).alias("_wanted")).distinct()
-    side = F.broadcast(side) if wanted.count() <= BROADCAST_DIGESTS else side
+    side = F.broadcast(side) if wanted.count() <= BROADCAST_ROWS else side
     return rows.join(side, F.col(column).eqNullSafe(F.col("_wanted")), "left_semi")
 
 
@@ -91,42 +92,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return resolved(named, collided, ("fp", "check")).select(id_col, F.col("fp").alias("fingerprint"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, next_text): with the row after it by doc_id, after the last the first.
+def _key() -> Column:
+    """What rows are ordered by: null ids first, then the id, then the text's hash."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
 
-    doc_id is cut into even ranges.  Each range also gets a copy of the first row of the range
-    after it, so one shuffle of the text and a window per range give every neighbour; no window
-    spans the table.  Ids that cluster make ranges uneven, which the external sort carries.
+
+def _bounds_up_to(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted bounds are not above key, by halving."""
+    steps = F.sequence(F.lit(most.bit_length() - 1), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        further = at + F.pow(F.lit(2), k).cast("int")
+        return F.when((further <= F.size(bounds)) & (F.get(bounds, further - 1) <= key), further).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _folded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, m): each different row once with its number; null texts as ''.
+
+    Only rows whose doc_id is null or occurs again are grouped, combined before they are shuffled.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    cells = max(1, min(MAX_CELLS, n // ROWS_PER_CELL))
-    width = max(1, -(-(high - low + 1) // cells))
-    in_cell = F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(-1)).cast("long")
-    own = own.withColumn("cell", in_cell)
-    heads = own.groupBy("cell").agg(F.min("doc_id").alias("head"))
-    # At most MAX_CELLS + 1 narrow rows whatever the input: one task, one broadcast.
-    order = Window.orderBy("cell")
-    heads = heads.select("head", F.coalesce(F.lag("cell").over(order), F.max("cell").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    head = F.broadcast(heads.withColumnRenamed("head", "head_id"))
-    both = own.join(head, own.doc_id.eqNullSafe(F.col("head_id")), "left").select(
-        "doc_id", "text",
-        F.explode(F.filter(F.array(
-            F.struct("cell", F.lit(0).alias("guest")),
-            F.struct(F.col("before").alias("cell"), F.lit(1).alias("guest")),
-        ), lambda x: x["cell"].isNotNull())).alias("at"),
-    ).select("doc_id", "text", F.col("at.cell").alias("cell"), F.col("at.guest").alias("guest"))
+    odd = odd_rows(own, "doc_id")
+    if odd.isEmpty():
+        return own.withColumn("m", F.lit(1).cast("long"))
+    odd, same = few(odd), F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    several = own.join(odd, same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("m"))
+    return own.join(odd, same, "left_anti").withColumn("m", F.lit(1).cast("long")).unionByName(several)
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, m) with next_id and next_text: those of the row after it, after the last the first.
+
+    Rows that a hash of (doc_id, text) picks, one in about ROWS_PER_CELL, are the bounds of ranges
+    (cells), so cells are even wherever the ids lie, and an id with many texts spans many.  A row
+    that begins a cell is also a guest at the end of the cell before, so one shuffle of the text
+    and a window per cell give every neighbour; no window spans the table.
+    """
+    n = rows.select("doc_id").count()
+    share = max(ROWS_PER_CELL, n // MAX_CELLS)
+    picked = F.pmod(F.xxhash64(F.lit(13), "doc_id", F.xxhash64("text")), F.lit(share)) == 0
+    # One row: about MAX_CELLS keys of 24 bytes at most, whatever the input.
+    cuts = checkpointed(rows.agg(F.min(_key()).alias("least"), F.sort_array(F.collect_set(F.when(picked, _key()))).alias("bounds")))
+    keyed = rows.withColumn("key", _key()).crossJoin(F.broadcast(cuts))
+    cell = _bounds_up_to(F.col("bounds"), F.col("key"), 4 * MAX_CELLS)
+    keyed = keyed.select("doc_id", "text", "m", cell.alias("cell"), picked.alias("begins"), (F.col("key") == F.col("least")).alias("least"), F.size("bounds").alias("last"))
+    places = F.array_compact(F.array(
+        F.struct("cell", F.lit(0).alias("guest")),
+        F.when(F.col("begins"), F.struct((F.col("cell") - 1).alias("cell"), F.lit(1).alias("guest"))),
+        F.when(F.col("least"), F.struct(F.col("last").alias("cell"), F.lit(2).alias("guest"))),
+    ))
+    both = keyed.select("doc_id", "text", "m", F.inline(places))
     by = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return both.select("doc_id", "text", "guest", F.lead("doc_id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text")).filter("guest = 0").drop("guest")
+    return both.select("doc_id", "text", "m", "guest", F.lead("doc_id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text")).filter("guest = 0").drop("guest")
+
 
+def with_edit(rows: DataFrame) -> DataFrame:
+    """with_next, and the canonical forms and digests of each text and of its edited text; copies: output rows it stands for.
 
-def with_edit(docs: DataFrame) -> DataFrame:
-    """with_next, and the canonical forms and digests of each text and of its edited text."""
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    Of m equal rows all but the last are followed by an equal one.
+    """
+    rows = with_next(rows)
+    again = rows.filter("m > 1").select("doc_id", "text", (F.col("m") - 1).alias("copies"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    rows = rows.select("doc_id", "text", F.lit(1).cast("long").alias("copies"), "next_id", "next_text").unionByName(again)
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.select(
-        "doc_id", "next_id", "n_chars", "next_text", canonical(F.col("text")).alias("canon"),
+        "doc_id", "next_id", "n_chars", "copies", "next_text", canonical(F.col("text")).alias("canon"),
         F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), k)).alias("edited"),
     ).withColumn("edited_canon", canonical(F.col("edited")))
     return rows.withColumn("fp", digest(F.col("canon"))).withColumn("efp", digest(F.col("edited_canon")))
@@ -134,10 +167,10 @@ def with_edit(docs: DataFrame) -> DataFrame:
 
 def neighbour_report(docs: DataFrame) -> DataFrame:
     """The rows of ``op9_fingerprint``: each text's fingerprint, its edited text's, and likenesses."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _folded(docs)
     rows = with_edit(docs)
     narrow = checkpointed(rows.select(
-        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp",
+        "doc_id", "next_id", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp",
         F.sha2("canon", 256).alias("check"), F.sha2("edited_canon", 256).alias("echeck"),
         F.when((F.col("fp") == F.col("efp")) & (F.col("canon") == F.col("edited_canon")), 1.0).otherwise(0.0).alias("near_edited"),
         F.when(F.col("canon") == canonical(F.col("next_text")), 1.0).otherwise(0.0).alias("near_next"),
@@ -147,10 +180,16 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     # Edited texts are made anew for those rows alone whose edited digest is shared; a row's neighbour
     # comes along, so it is still the next one among the rows that are left.
     again = checkpointed(among(narrow, shared, "efp").select("doc_id", "next_id"))
-    few = among(docs, checkpointed(again.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()), "doc_id")
-    edited = among(among(with_edit(few), again.select("doc_id"), "doc_id"), shared, "efp").select(F.col("efp").alias("fp"), F.col("edited_canon").alias("canon"))
+    some = among(docs, checkpointed(again.select(F.explode(F.array("doc_id", "next_id")).alias("id")).distinct()), "doc_id")
+    edited = among(among(with_edit(some), again.select("doc_id"), "doc_id"), shared, "efp").select(F.col("efp").alias("fp"), F.col("edited_canon").alias("canon"))
     named = resolved(narrow, collided_digests(own.unionByName(edited)), ("fp", "check"), ("efp", "echeck"))
-    return named.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", "near_next")
+    out = [F.col("doc_id"), F.col("n_chars"), F.col("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), F.col("near_edited"), F.col("near_next")]
+    many = checkpointed(named.filter("copies > 1"))
+    if many.isEmpty():
+        return named.select(*out)
+    portions = many.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PORTION)))).repartition("doc_id", "check", "portion")
+    repeated = portions.withColumn("one", F.explode(F.sequence(F.col("portion") * PORTION, F.least(F.col("copies"), (F.col("portion") + 1) * PORTION) - 1)))
+    return named.filter("copies = 1").select(*out).unionByName(repeated.select(*out))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
