@@ -6,10 +6,14 @@ hashed from its id, so the same document always gets the same number, on any clu
 counts hit the target weights and no counter is shared between tasks.  Copies are then dealt out
 by a hash and sorted by it in each partition, which is a global random order.
 
-Defined results: a null source is a source of its own; a null doc_id is hashed as the text
-'null'; repeated rows get equal counts, each its own copies; a source without a weight in a given
-mapping has weight 0; an empty table gives an empty result; columns of the input that are named
-like an added column (copy, n_copies, shuffle_key) are replaced.
+Rows whose doc_id is null or occurs again draw by a hash of the whole row and by their number among
+equal rows, so each of them draws for itself and totals hit the targets there too.  Equal rows are
+counted before they are shuffled and numbered in portions, so a huge group of them is many tasks.
+
+Defined results: a null source is a source of its own; a null text is copied like any other; a
+source without a weight in a given mapping has weight 0; an empty table gives an empty result; the
+columns copy, n_copies and shuffle_key replace namesakes of the input, and with marks=False the
+columns of the input come back as they are and nothing is added.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import all_columns, checkpointed, few, odd_rows, table
 
 #: Means above this are split into equal parts whose Poisson counts are added up.
 PART_MEAN = 64
@@ -26,6 +30,8 @@ BROADCAST_SOURCES = 50_000
 #: Salts of the shuffle join beyond that number.
 SALTS = 64
 SEED = "mix-1"
+#: Equal rows that one task numbers at a time.
+PORTION = 50_000
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -63,31 +69,54 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
     return rates.select("src", "parts", F.filter(cdf, lambda c: c < 1).alias("cdf"))
 
 
-def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Every column of docs, once per copy, with copy (from 0), n_copies and shuffle_key."""
-    docs = docs.drop("copy", "n_copies", "shuffle_key")
-    kept = docs.columns
-    rates = source_rates(docs, weights, epochs, source_col)
-    plain = {c: f"_d{i}" for i, c in enumerate(kept)}  # no name of the input can clash with ours
-    rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in plain.items()))
+def _told_apart(docs: DataFrame, id_col: str, plain: DataFrame, did: str) -> DataFrame:
+    """plain (all columns of docs under our names) with draw_id: what a row's numbers are hashed from.
+
+    The doc_id; where that is null or occurs again, with a hash of the row and its number among
+    equal rows.
+    """
+    odd = odd_rows(docs, id_col)
+    by_id = F.coalesce(F.col(did).cast("string"), F.lit("null"))
+    if odd.isEmpty():
+        return plain.withColumn("draw_id", by_id)
+    odd = few(odd)
+    same = F.col(did).eqNullSafe(F.col("odd_id"))
+    hashed = plain.join(odd, same, "left_semi").withColumn("h", F.md5(F.to_json(F.struct(*plain.columns), {"ignoreNullFields": "false"})))
+    groups = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in plain.columns))  # equal rows: any one's values
+    portions = groups.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PORTION)))).repartition("h", "portion")
+    last = F.least(F.col("m"), (F.col("portion") + 1) * PORTION) - 1
+    ranked = portions.withColumn("rank", F.explode(F.sequence(F.col("portion") * PORTION, last)))
+    ranked = ranked.select(*plain.columns, F.concat_ws(":", F.coalesce(F.col(did).cast("string"), F.lit("null")), "h", "rank").alias("draw_id"))
+    return plain.join(odd, same, "left_anti").withColumn("draw_id", by_id).unionByName(ranked)
+
+
+def poisson_mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", marks: bool = True
+) -> DataFrame:
+    """Every column of docs, once per copy, with copy (from 0), n_copies and shuffle_key if marks is set."""
+    docs = docs.drop("copy", "n_copies", "shuffle_key") if marks else docs
+    # Few rows of numbers; checkpointed, they cost one scan of one column.
+    rates = checkpointed(source_rates(docs, weights, epochs, source_col))
+    plain = {c: f"_k{i}" for i, c in enumerate(docs.columns)}  # no name of the input can clash with ours
     did, src = plain[id_col], plain[source_col]
+    rows = _told_apart(docs, id_col, all_columns(docs), did)
     if rates.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), F.col(src).eqNullSafe(F.col("src")))
     else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64(did), F.lit(SALTS)))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("draw_id"), F.lit(SALTS)))
         rates = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.join(rates, F.col(src).eqNullSafe(F.col("src")) & (F.col("salt") == F.col("salt2")))
     counts = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda n, i: n + F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col(did), i))),
+        lambda n, i: n + F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col("draw_id"), i))),
     )
     # The draw of the first part does not depend on a lambda variable, so it is computed once a row.
     first = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))
-    rows = rows.withColumn("u", uniform(seed, F.col(did), F.lit(1))).withColumn("n_copies", F.when(F.col("parts") == 1, first).otherwise(counts))
-    rows = rows.filter("n_copies > 0").select(*plain.values(), "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(did).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("u", uniform(seed, F.col("draw_id"), F.lit(1))).withColumn("n_copies", F.when(F.col("parts") == 1, first).otherwise(counts))
+    rows = rows.filter("n_copies > 0").select(*plain.values(), "draw_id", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-order"), "draw_id", F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     rows = rows.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", did, "copy")
-    return rows.select(*(F.col(a).alias(c) for c, a in plain.items()), "copy", "n_copies", "shuffle_key")
+    return rows.select(*(F.col(a).alias(c) for c, a in plain.items()), *(["copy", "n_copies", "shuffle_key"] if marks else []))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
