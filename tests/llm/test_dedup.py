@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import fingerprint, neardup
 from quarrylens.llm.text import code_points, shingles, word_hashes
@@ -89,7 +90,8 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, neardup.near_duplicate_classes(df).collect()), key=str)
     assert got == sorted([(None, None), (1, 1), (2, 2), (2, 2), (5, 2), (7, 2), (8, 8)], key=str)
     kept = neardup.one_of_each_class(df)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 8] and kept.columns == df.columns
+    # Of the copies of a text the smallest doc_id stays; unlike texts under one doc_id both stay.
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, ""), (2, "quite another text of six words"), (2, long), (8, "")] and kept.columns == df.columns
     assert neardup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
@@ -111,7 +113,48 @@ def test_near_copies_of_each_text_of_a_repeated_id(spark):
     got = [(x.doc_id, x.class_id) for x in neardup.near_duplicate_classes(df).collect()]
     first = {g: min(i for i in want if want[i] == g) for g in want.values()}
     assert sorted(got, key=str) == sorted([(i, first[want[i]]) for i, _ in rows] + [(5000, 5000), (5000, 5000), (None, None), (5001, 5001), (5001, 5001)], key=str)
-    assert neardup.one_of_each_class(df).count() == len(first) + 3
+    kept = neardup.one_of_each_class(df).collect()
+    assert len(kept) == 4 * len(first) + 3 and {(r.doc_id, r.text) for r in kept} <= {(r.doc_id, r.text) for r in df.collect()}
+    assert sorted(r.text for r in kept if r.doc_id == 5001) == ["a text alone", "and another text"]
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (1, "one two three four five six"), (None, "x y"), (None, "x z"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, [k], "c") for k, (i, t) in enumerate(rows)], "doc_id long, text string, m array<int>, id string")
+    kept = neardup.one_of_each_class(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == sorted([("1", rows[0][1]), ("1", rows[1][1]), ("None", "x y"), ("None", "x z"), ("None", ""), ("None", "")])
+    assert neardup.one_of_each_class(df.limit(0)).count() == 0
+
+
+def test_every_candidate_pair_verified(spark):
+    """promising=0 drops no candidate on its signature; on the small tables that changes no class."""
+    for folder in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+        a, b = ({r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, least).collect()} for least in (neardup.PROMISING, 0.0))
+        assert a == b
+
+
+def test_hot_keys_and_hubs_are_spread(spark, monkeypatch):
+    r, words = vocabulary(6, 4000)
+    base = r.choices(words, k=150)
+    texts = []
+    for _ in range(160):
+        copy = list(base)
+        copy[r.randrange(150)] = r.choice(words)
+        texts.append(" ".join(copy))
+    texts += [" ".join(r.choices(words, k=40)) for _ in range(20)]
+    want = brute_classes(list(enumerate(texts)))
+    for hot, chars in ((5, 1 << 24), (30, 4_000)):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "BLOCK_CHARS", chars)
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs(spark, texts)).collect()} == want
+    pairs = spark.range(1, 500).selectExpr("id as a", "0L as b")
+    monkeypatch.setattr(neardup, "HOT", 50)
+    salted, hubs = neardup.spread_hubs(pairs)
+    sizes = [r["count"] for r in salted.groupBy("b", "salt").count().collect()]
+    assert len(sizes) == hubs.count() == 10 and max(sizes) < 100
 
 
 def test_signature_estimates_similarity():
@@ -190,5 +233,52 @@ def test_neighbour_report(spark):
     assert fingerprint.neighbour_report(df.limit(0)).count() == 0
     one = fingerprint.neighbour_report(df.filter("doc_id = 40")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
-    twice = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")
-    assert fingerprint.neighbour_report(twice).count() == 4
+
+
+def report_by_brute_force(rows):
+    """(doc_id, edited digest) of each row: sorted by id, null first, equal ids by a hash of the text that only Spark knows; so of single ids alone."""
+    import hashlib
+
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    out = []
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        out.append((i, hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("per_cell", [1, 3, 1000])
+def test_neighbours_of_outlying_and_clustered_ids(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_CELL", per_cell)
+    r = random.Random(8)
+    ids = [1 << 60, -(1 << 62), None] + list(range(200)) + [10**9 + k for k in r.sample(range(50), 30)]
+    rows = [(i, "".join(r.choices("abcd ", k=r.choice([0, 1, 7, 40])))) for i in ids] + [(500, "long " * 200_000)]
+    got = fingerprint.neighbour_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(str, ((x.doc_id, x.edited_sha256) for x in got.collect()))) == sorted(map(str, report_by_brute_force(rows)))
+
+
+def test_cells_are_even_wherever_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_CELL", 50)
+    for ids in ([1 << 60] + list(range(2000)), [None] * 2001, [7] * 2001):
+        rows = fingerprint._folded(spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string"))
+        cuts = rows.select(fingerprint._key().alias("key"))
+        bounds = sorted({tuple(x.key) for x in cuts.filter(F.pmod(F.xxhash64(F.lit(13), F.when(F.col("key.known"), F.col("key.id")), "key.h"), F.lit(50)) == 0).collect()})
+        assert 15 < len(bounds) < 90
+        plan = fingerprint.with_next(rows)
+        assert plan.count() == 2001
+
+
+def test_repeated_and_null_ids_in_the_report(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_CELL", 2)
+    monkeypatch.setattr(fingerprint, "PORTION", 3)
+    rows = [(1, "aaaa"), (1, "bbbb"), (None, "cccc"), (None, None), (2, "same text")] + [(3, "copy of it")] * 11 + [(None, "null too")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.neighbour_report(df).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    copies = [r for r in got if r.doc_id == 3]
+    assert sum(r.near_next for r in copies) == 10 and len({r.fingerprint for r in copies}) == 1
+    assert sum(r.near_next for r in got if r.doc_id is None and r.n_chars == 8) == 4
+    # Every row is the next one of exactly one: over each ring the first quarters that edits take are those of all rows.
+    nexts = fingerprint.with_next(fingerprint._folded(df)).collect()
+    assert Counter((r.next_id, r.next_text) for r in nexts) == Counter((r.doc_id, r.text) for r in nexts)

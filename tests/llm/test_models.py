@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import html_main, langid, lm, quality
@@ -50,6 +54,60 @@ def test_unlearned_languages_are_rejected(spark, sf_dir):
     assert not any(p[2] for p in model.predict([t + " " + t for t in held]))
 
 
+def brute_grams(text):
+    x = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ")
+    return [x[i : i + k] for k in (1, 2, 3) for i in range(len(x) - k + 1) if not (k == 1 and x[i] == " ")]
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    """TF-IDF vectors, cosines and softmax over dictionaries, written apart; buckets by the operator's hash of each n-gram."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_on(docs.filter(~fold("doc_id", 3, 1)))
+    assert len(model.centroids) > len(model.langs)  # several a language
+    texts = [r.text for r in docs.filter("length(text) > 0").orderBy("doc_id").limit(40).collect()] + ["Ab 1 cd", "é"]
+    texts = [t[:400] for t in texts]
+
+    def bucket(g):
+        points = [np.uint64(ord(c)) for c in g]
+        with np.errstate(over="ignore"):
+            h = points[0] * np.uint64(0x9E3779B97F4A7C15)
+            if len(g) == 1:
+                h = h * np.uint64(0xD6E8FEB86659FD93)
+            if len(g) > 1:
+                h = (h ^ (points[1] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
+            if len(g) > 2:
+                h = (h ^ (points[2] * np.uint64(0x165667B19E3779F9))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return int(h) >> 52
+
+    for t, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        n = {}
+        for g in brute_grams(t):
+            n[bucket(g)] = n.get(bucket(g), 0) + 1
+        if not n:
+            assert lang == "und"
+            continue
+        v = {b: math.log1p(c) * float(model.idf[b]) for b, c in n.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        best = {}
+        for c, k in zip(model.centroids, model.owner, strict=True):
+            cosine = sum(x * float(c[b]) for b, x in v.items()) / size
+            best[model.langs[k]] = max(best.get(model.langs[k], -1), cosine)
+        total = sum(math.exp(langid.SHARPNESS * x) for x in best.values())
+        want = min(best, key=lambda name: (-best[name], name))
+        assert lang == want and abs(score - math.exp(langid.SHARPNESS * best[want]) / total) < 1e-4
+
+
+def test_language_ties_repeats_and_many_labels(spark, sf_dir):
+    twin = langid.LanguageModel(["aa", "bb"], np.ones(langid.BUCKETS, np.float32), np.ones((2, langid.BUCKETS), np.float32) / 64, np.array([0, 1]), np.zeros(2), [(np.ones(1 << langid.KNOWN_BITS, bool), 1.0)] * 2)
+    assert twin.predict(["any text"])[0][0] == "aa"  # a tie goes to the first in alphabetical order
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    again = docs.unionByName(docs.limit(1).crossJoin(spark.range(500)).drop("id"))  # a row that occurs 500 times more
+    a, b = langid.fit_on(docs), langid.fit_on(again)
+    assert a.langs == b.langs and np.allclose(a.idf, b.idf)
+    with pytest.raises(ValueError, match="different values"):
+        langid.fit_on(spark.range(1200).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang"))
+
+
 def test_kmeans_and_grams():
     x = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2, 3]]
     assert len({tuple(c) for c in langid.spherical_kmeans(x, 4, 0).round(3).tolist()}) == 4
@@ -87,6 +145,37 @@ def test_bradley_terry_orders_pairs():
     assert abs((s >= quality.THRESHOLD).mean() - y.mean()) < 0.03  # the quantile of the threshold
 
 
+def test_quality_against_brute_force():
+    """Every pair a preference, plain gradient descent on the logistic loss, then the quantile: the same order and threshold."""
+    rng = np.random.default_rng(3)
+    x = rng.random((120, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 1] + 0.3 * rng.standard_normal(120) > 0.8).astype(int)
+    share = float((y == 0).mean())
+    m = quality.QualityModel.fit(x, y, share)
+    hot = [[float(j == sum(v >= e for e in m.edges[f])) for f, v in enumerate(row) for j in range(quality.BINS + 1)] for row in x]
+    assert np.allclose(hot, m.binned(x))
+    hot = np.array(hot)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = np.array([hot[a] - hot[b] for a in good for b in bad])
+    w = np.zeros(hot.shape[1])
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(d @ w))
+        w += 1.0 * (d.T @ p / len(d) - quality.L2 * w)
+    assert np.corrcoef(hot @ w, m.raw(x))[0, 1] > 0.99
+    ranked = sorted(m.raw(x))
+    below = sum(v < m.centre for v in ranked) / len(ranked)
+    assert abs(below - share) <= 1.5 / len(x)
+    assert all((s >= quality.THRESHOLD) == (r >= m.centre) for s, r in zip(m.score(x), m.raw(x), strict=True))
+
+
+def test_quality_repeated_labels_and_ids(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    plain = quality.fit_on(docs, labels)
+    more = labels.unionByName(labels).unionByName(labels.limit(5).withColumn("quality", F.lit(None).cast(labels.schema["quality"].dataType)))
+    twice = quality.fit_on(docs.unionByName(docs), more)
+    assert np.allclose(plain.weights, twice.weights) and np.isclose(plain.centre, twice.centre)
+
+
 # ---- main text ------------------------------------------------------------------------------
 
 
@@ -138,14 +227,70 @@ def test_extraction(spark, sf_dir):
     assert html_main.op3_html_text(spark, sf_dir).filter("n_chars > 0").count() == 50
 
 
+def scalar_scores(model, page):
+    """The network written out for one page, step by step and unit by unit."""
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    dot = lambda x, m, j: sum(a * row[j] for a, row in zip(x, m, strict=True))
+    e = [[math.tanh(dot(x, p["in"], j) + p["inb"][j]) for j in range(html_main.INNER)] for x in page.tolist()]
+    both = {}
+    for side, order in (("f", range(len(e))), ("b", range(len(e) - 1, -1, -1))):
+        h, c = [0.0] * html_main.HIDDEN, [0.0] * html_main.HIDDEN
+        both[side] = [None] * len(e)
+        for t in order:
+            z = [dot(e[t], p[side + "x"], j) + dot(h, p[side + "h"], j) + p[side + "c"][j] for j in range(4 * html_main.HIDDEN)]
+            n = html_main.HIDDEN
+            c = [sig(z[n + u]) * c[u] + sig(z[u]) * math.tanh(z[3 * n + u]) for u in range(n)]
+            h = [sig(z[2 * n + u]) * math.tanh(c[u]) for u in range(n)]
+            both[side][t] = h
+    return [sig(dot(both["f"][t] + both["b"][t] + e[t], p["out"], 0) + p["outb"][0]) for t in range(len(e))]
+
+
+def test_network_against_scalar_form():
+    model = html_main.trained()
+    pages = [x for x, _ in html_main.training_pages(6, 321)]
+    x, mask = html_main._padded(pages)
+    got = model.scores(x, mask)
+    for k, page in enumerate(pages):
+        assert np.allclose(got[: len(page), k], scalar_scores(model, page), atol=1e-4)
+
+
+def test_all_words_of_a_block_count():
+    base = [f"w{i}" for i in range(400)]
+    v = html_main.word_vector(" ".join(base))
+    for k in (0, 100, 200, 399):
+        other = [*base[:k], "different", *base[k + 1 :]]
+        slots = [html_main.zlib.crc32(w.encode()) for w in (base[k], "different")]
+        if slots[0] % html_main.WORDS != slots[1] % html_main.WORDS:
+            assert not np.allclose(html_main.word_vector(" ".join(other)), v)
+    assert np.allclose(html_main.word_vector(" ".join(reversed(base))), v) and not html_main.word_vector("").any()
+
+
+def test_article_texts_of_the_tables(spark):
+    """At least 99 of 100 pages equal the text of their article element, block by block."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "html").collect()
+    found = [html_main.blocks(r.html or "") for r in rows]
+    labels = html_main.trained().label([html_main.vectors(f) for f in found])
+    same = 0
+    for r, f, y in zip(rows, found, labels, strict=True):
+        article = re.search(r"<article\b[^>]*>(.*?)</article>", r.html, re.S)[1]
+        same += "\n".join(b.text for b, k in zip(f, y, strict=True) if k) == "\n".join(b.text for b in html_main.blocks(article))
+    assert same >= 0.99 * len(rows)
+
+
+def test_long_tied_and_repeated_pages(spark):
+    prose = " ".join(f"Sentence number {i} of this article, which goes on." for i in range(40_000))
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title</h1><p>{prose}</p><p>Last words.</p></article><footer>&copy; me</footer></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (1, "v", "<article><h1>Other</h1><p>Words of the other page.</p></article>"), (2, "w", "<article>" + "<p>Same line.</p>" * 5_000 + "</article>")]
+    got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()
+    assert len(got) == 4 and [r.text for r in got if r.url == "u"] == ["Title\n" + prose + "\nLast words."] * 2
+    assert next(r.text for r in got if r.url == "w") == "\n".join(["Same line."] * 5_000)
+
+
 # ---- language model -------------------------------------------------------------------------
 
 
 def brute_scores(texts, order=3):
-    import math
-    import re
-    from collections import Counter
-
     words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
     own = [Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in words]
     total = sum(own, Counter())
@@ -168,18 +313,47 @@ def brute_scores(texts, order=3):
 def test_backoff_against_brute_force(spark, monkeypatch):
     r = random.Random(4)
     texts = [" ".join(r.choices("alpha beta gamma delta eps zeta Ünder_score".split(), k=r.choice([0, 1, 2, 3, 50]))) for _ in range(60)] + [None, "!!", "beta " * 20_000]
-    monkeypatch.setattr(lm, "DOCS_PER_BLOCK", 7)
-    monkeypatch.setattr(lm, "DOCS_PER_BUCKET", 9)
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 9_000)
+    monkeypatch.setattr(lm, "BUCKET_CHARS", 12_000)
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, log_score double")
     got = {r.doc_id: r for r in lm.backoff_scores(df).collect()}
     for i, (n, s) in enumerate(brute_scores(texts)):
         assert got[i].n_words == n and abs(got[i].log_score - s) < 1e-6 * max(1, abs(s))
         assert (got[i].mean_log_score is None) == (n == 0)
     assert lm.backoff_scores(df.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a c"), (1, "a c")], "doc_id long, text string")
-    assert lm.backoff_scores(odd).count() == 4
+
+
+def test_backoff_of_null_and_repeated_ids(spark, monkeypatch):
+    """Each row is scored by itself, with its own counts left out; a huge group of equal rows is many blocks."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(lm, "BUCKET_CHARS", 50)
+    monkeypatch.setattr(lm, "PORTION", 3)
+    rows = [(None, "a b"), (None, "a b"), (None, "a b c"), (1, "a c"), (1, "a c"), (1, "b a c"), (2, None), (3, "a b c d")] + [(7, "the same heading and more")] * 25
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 9)) for r in lm.backoff_scores(df).collect())
+    assert got == sorted((str(i), n, round(s, 9)) for (i, _), (n, s) in zip(rows, brute_scores([t for _, t in rows]), strict=True))
+    own = spark.createDataFrame([(None, "x y z " * 9 + str(i)) for i in range(300)], "doc_id long, text string")
+    sizes = [r["count"] for r in lm._dealt(own, 30).groupBy("block").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 40
+    same = spark.createDataFrame([(None, "x y z")] * 300, "doc_id long, text string")
+    sizes = [r["count"] for r in lm._dealt(same, 30).groupBy("block").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 40
+
+
+def test_count_tables(spark):
+    df = spark.createDataFrame([(i, "one two one" if i % 2 else "two one", i % 3) for i in range(12)], "doc_id long, text string, block int")
+    tables = lm.count_tables(lm.exploded_ngrams(df, 2, 4)).collect()
+    counted = {}
+    for t in tables:
+        if t.bucket != lm.WORDS:
+            values = np.cumsum(lm.unpack_numbers(t.codes), dtype=np.uint64)
+            counted |= {(t.bucket, int(c)): int(n) for c, n in zip(values, lm.unpack_numbers(t.counts), strict=True)}
+    one, two = lm.grams("two one", 2)
+    want = {int(two[0]): 12, int(one[1]): 18, int(one[0]): 12, int(lm.grams("one two", 2)[1][0]): 6}
+    assert counted == {(int(lm.bucket_of(np.array([h], dtype=np.uint64), 4)[0]), h >> (64 - lm.CODE_BITS)): n for h, n in want.items()}
 
 
 def test_number_packing():
     x = np.array([0, 1, 255, 1 << 41, (1 << 63) + 5], dtype=np.uint64)
     assert (lm.unpack_numbers(lm.pack_numbers(x)) == x).all() and len(lm.unpack_numbers(lm.pack_numbers(x[:0]))) == 0
+    assert len(lm.pack_numbers(np.ones(10_000, dtype=np.int64))) < 100

@@ -140,8 +140,66 @@ def test_hadamard_and_cells():
     x = np.random.default_rng(0).standard_normal((50, 64))
     y = ann.rotated(x, 3)
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(x @ x.T, y @ y.T)
-    own, probed = ann.cells(x, 1), ann.cells(x, 1, 5)
-    assert (probed == own).any(1).all() and ann.cells(x, 1, 0).shape == (50, 128) and own.max() < 128
+    for k in (1, 2, 3):
+        own, near = ann.cells(x, 1, k), ann.probed(x, 1, k, 40)
+        assert near.shape == (50, 40) and own.max() < 128**k and (near == own[:, None]).any(1).all()
+        axes = ann._axes(x[:2], 1, k)
+        for i in range(2):  # the forty largest of all sums
+            sums = axes[0][i]
+            for y in axes[1:]:
+                sums = (sums[:, None] + y[i][None]).reshape(-1)
+            assert set(np.argsort(-sums)[:40]) == set(near[i])
+
+
+def test_finer_cells_and_fewer_of_them_as_the_index_grows():
+    assert [ann.rotations(n) for n in (10, 500, 10**6, 10**7, 10**9)] == [2, 2, 2, 3, 4]
+    shares = [ann.TABLES * ann.probes(n, 128, ann.rotations(n)) / 128 ** ann.rotations(n) for n in (500, 2_000, 10_000, 10**6, 10**7, 10**9)]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.01
+
+
+def scored_share(x, queries):
+    """The share of the vectors that lie in a query's probed cells, by the operator's own functions."""
+    n, k = len(x), ann.rotations(len(x))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    seen = np.zeros((len(queries), n), dtype=bool)
+    for t in range(ann.TABLES):
+        c = ann.cells(unit, t, k)
+        for i, p in enumerate(ann.probed(unit[queries], t, k, ann.probes(n, 2 * x.shape[1], k))):
+            seen[i] |= np.isin(c, p)
+    return seen
+
+
+def test_scored_share_falls(spark):
+    shares = []
+    for folder in ("sf0.01", "sf0.1"):
+        rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").collect()
+        x = np.array([r.embedding for r in rows], dtype=float)
+        q = np.array([i for i, r in enumerate(rows) if r.vec_id % 20 == 0])
+        seen = scored_share(x, q)
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -np.inf
+        top = np.argsort(-s, axis=1)[:, :20]
+        assert np.take_along_axis(seen, top, 1).mean() >= 0.9
+        shares.append(seen.mean())
+    assert shares[1] < 0.8 * shares[0]
+
+
+def test_recall_of_clustered_vectors_and_of_three_rotations(spark):
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((40, 64))
+    x = centres[r.integers(0, 40, 3000)] + 0.6 * r.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = list(range(3000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    assert np.mean([len(v & set(brute_search(ids, x, q))) / 20 for q, v in got.items()]) >= 0.95
+    entries = df.selectExpr("vec_id as id", "embedding as emb")
+    found = {}
+    for row in ann.nearest_entries(entries.filter("id % 100 = 0"), entries, None, 21, 3000, 3).collect():
+        found.setdefault(row.query, set()).add(row.id)
+    assert np.mean([len(v & set(brute_search(ids, x, q))) / 20 for q, v in found.items()]) >= 0.9
 
 
 def test_recall(spark, sf_dir):
@@ -227,12 +285,31 @@ def test_mix_odd_rows(spark, monkeypatch):
     for r in got:
         counts.setdefault((r.doc_id, r.text), []).append(r.copy)
     assert all(sorted(v) == list(range(len(v))) for v in counts.values()) and len(counts) == 4
-    assert len(counts[1, None]) == len(counts[1, "y"])
+    assert len(counts[1, None]) != len(counts[1, "y"])  # unlike rows of one doc_id draw by themselves
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(map(str, mixing.poisson_mix(df, epochs=30.0).collect())) == sorted(map(str, got))
     assert mixing.poisson_mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_many_null_and_repeated_ids(spark, monkeypatch):
+    """Totals hit the targets, and copies spread over all partitions, where doc_id tells nothing apart."""
+    monkeypatch.setattr(mixing, "PORTION", 100)
+    for ids, texts in (("cast(null as long)", "concat('text ', id)"), ("7L", "'the same text'"), ("cast(null as long)", "cast(null as string)")):
+        df = spark.range(2000).selectExpr(f"{ids} as doc_id", "'s' as source", f"{texts} as text", "map('k', 1) as extra")
+        got = mixing.poisson_mix(df, epochs=3.0)
+        assert got.select("shuffle_key").distinct().count() == got.count() and abs(got.count() / 6000 - 1) < 0.05
+        assert sorted(map(str, got.collect())) == sorted(map(str, mixing.poisson_mix(df.repartition(7), epochs=3.0).collect()))
+    n = dict(mixing.poisson_mix(df, epochs=1.0).groupBy("n_copies").count().collect())
+    assert abs(n[1] / 2000 - 0.368) < 0.05 and abs(n[2] / 2 / 2000 - 0.184) < 0.05
+
+
+def test_mix_of_long_texts_and_unmarked(spark):
+    df = spark.createDataFrame([(1, "a", "long " * 300_000, "mine", 5), (2, "a", None, "its", 6)], "doc_id long, source string, text string, copy string, shuffle_key int")
+    got = mixing.poisson_mix(df, epochs=20.0, marks=False)
+    assert got.columns == df.columns and got.schema["copy"].dataType.simpleString() == "string"
+    assert set(map(tuple, got.collect())) == set(map(tuple, df.collect())) and got.count() > 20
+
+
 # ---- registered SQL -------------------------------------------------------------------------
 
 
@@ -250,15 +327,100 @@ def test_sql(spark, sf_dir, tmp_path, name):
         assert con.execute(f"select {c} from {a} except all select {c} from {b} limit 3").fetchall() == []
 
 
+def plain_pipeline(spark, docs, sf_dir):
+    """Kept ids after each of the first three stages, and copies after the fourth, by other means: predict(), brute-force classes, exact Poisson counts."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    from test_dedup import brute_classes
+
+    from quarrylens.llm import langid, quality
+    from quarrylens.llm.common import fold
+
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    model = langid.fit_on(docs.filter(~fold("doc_id", 3, 1)))
+    rows = [r for r, p in zip(rows, model.predict([r[1] for r in rows]), strict=True) if not p[2]]
+    kept = [sorted(r[0] for r in rows)]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    left = docs.join(spark.createDataFrame([(r[0],) for r in rows], "doc_id long"), "doc_id")
+    model = quality.fit_on(left.filter(~fold("doc_id", 4, 2)), labels.filter(~fold("doc_id", 4, 2)))
+    rows = [r for r, s in zip(rows, model.score(quality.feature_rows([r[1] for r in rows])), strict=True) if s >= 0.5]
+    kept.append(sorted(r[0] for r in rows))
+    classes = brute_classes([(r[0], r[1]) for r in rows])
+    rows = [r for r in rows if classes[r[0]] == r[0]]
+    kept.append(sorted(r[0] for r in rows))
+    of = Counter(r[2] for r in rows)
+    weight = {s: math.sqrt(n) for s, n in of.items()}
+    copies = []
+    for i, _, s in rows:
+        mean = weight[s] / sum(weight.values()) * len(rows) / of[s]
+        u = int(hashlib.md5(f"mix-1:{i}:1".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, math.exp(-mean)
+        c = p
+        while c <= u and k < 60:
+            k += 1
+            p *= mean / k
+            c += p
+        copies += [i] * k
+    return [*kept, sorted(copies)]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in cp.STAGES[:-1]:
+    want = plain_pipeline(spark, docs, sf_dir)
+    for (name, stage), ids in zip(cp.STAGES[:-1], want, strict=True):
         before = docs
-        docs = spark.createDataFrame(stage(spark, docs, sf_dir).toPandas(), docs.schema) if name != "x" else docs
-        assert docs.columns == before.columns and 0 < docs.count() <= 1.5 * before.count(), name
-        if name != "mixing sources":
-            assert docs.join(before, "doc_id", "left_anti").count() == 0
-    assert cp.run(spark, sf_dir).select("doc_id").distinct().count() > 50
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        assert docs.columns == before.columns and sorted(r.doc_id for r in docs.collect()) == ids, name
+    texts = sorted((r.doc_id, len(bpe().ids(r.text or "")) + 1) for r in docs.collect())
+    pieces = cp.run(spark, sf_dir).collect()
+    tokens = {r.doc_id: r.doc_tokens for r in pieces}
+    assert sum(r.length for r in pieces) == sum(n for _, n in texts) and tokens == dict(texts)
     assert cp.ORACLE_SQL is None and json.dumps([n for n, _ in cp.STAGES])
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, ties, repeated rows, no rows, and columns named like those the operators add."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = [r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(6).collect()]
+    texts = [(None, None), (1, None), (2, ""), (3, some[0]), (4, some[0]), (5, some[1]), (5, some[1]), (6, some[2]), (6, some[3]), (None, some[4]), (7, some[5] + " " + " ".join(some) * 400), (8, "123")]
+    names = ["lang_pred", "score", "rejected", "predicted", "copy", "n_copies", "shuffle_key", "n_chars", "class_id", "x", "id", "_k0", "key"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    odd = spark.createDataFrame([(i, t, None, None, *(f"{n}-{k}" for n in names)) for k, (i, t) in enumerate(texts)], schema)
+    whole = docs.select("doc_id", "text", "lang", "source", *(F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names)).filter("doc_id > 8")
+    table = whole.unionByName(odd)
+    mine = {tuple(r) for r in table.collect()}
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, table, sf_dir)
+        assert out.columns == table.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) <= mine, name  # every column as it came, whatever its name
+        kept[name] = [(r[0], r[1]) for r in rows if r[4].split("-")[1] in map(str, range(12)) and r in {tuple(x) for x in odd.collect()}]
+        assert stage(spark, table.limit(0), sf_dir).count() == 0, name
+    assert sorted(str(i) for i, _ in kept["language ID"]) == sorted(["3", "4", "5", "5", "6", "6", "None", "7"])
+    assert sorted(str(i) for i, _ in kept["MinHash near-dedup"]).count("6") == 2 and [i for i, _ in kept["MinHash near-dedup"]].count(5) == 1 and 4 not in [i for i, _ in kept["MinHash near-dedup"]]
+    pieces = cp.pack_sequences(spark, odd.withColumn("offset", F.lit("mine")), sf_dir).collect()
+    assert sum(p.length for p in pieces) == sum(len(bpe().ids(t or "")) + 1 for _, t in texts)
+    assert cp.pack_sequences(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quarrylens.storage import shared_folder
+
+    unset = SimpleNamespace(get=lambda k, d=None: d)
+    for master, works in (("local[4]", True), ("spark://host:7077", False), ("yarn", False), ("local-cluster[2,1,1024]", False)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master))
+        if works:
+            assert shared_folder(session)
+        else:
+            with pytest.raises(RuntimeError, match="checkpoint"):
+                shared_folder(session)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
