@@ -16,13 +16,15 @@ two exact digests is 1 or 0.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpointed, few, odd_rows, table
 
-#: Ranges of rows that the neighbour window is cut into, at most: their bounds are one small broadcast.
-MAX_CELLS = 100_000
+#: Ranges of rows that the neighbour window is cut into, at most about: their bounds are a constant of the plan.
+MAX_CELLS = 20_000
 ROWS_PER_CELL = 1_000
 #: Equal rows that one task writes at a time.
 PORTION = 50_000
@@ -97,15 +99,14 @@ def _key() -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
 
 
-def _bounds_up_to(bounds: Column, key: Column, most: int) -> Column:
-    """How many of the sorted bounds are not above key, by halving."""
-    steps = F.sequence(F.lit(most.bit_length() - 1), F.lit(0), F.lit(-1))
+def _bounds_up_to(bounds: Column, key: Column, n: int) -> Column:
+    """How many of the n sorted bounds are not above key, by halving."""
 
-    def step(at: Column, k: Column) -> Column:
-        further = at + F.pow(F.lit(2), k).cast("int")
-        return F.when((further <= F.size(bounds)) & (F.get(bounds, further - 1) <= key), further).otherwise(at)
+    def step(at: Column, width: Column) -> Column:
+        further = at + width
+        return F.when((further <= n) & (F.get(bounds, further - 1) <= key), further).otherwise(at)
 
-    return F.aggregate(steps, F.lit(0), step)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1))), F.lit(0), step)
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -133,15 +134,19 @@ def with_next(rows: DataFrame) -> DataFrame:
     n = rows.select("doc_id").count()
     share = max(ROWS_PER_CELL, n // MAX_CELLS)
     picked = F.pmod(F.xxhash64(F.lit(13), "doc_id", F.xxhash64("text")), F.lit(share)) == 0
-    # One row: about MAX_CELLS keys of 24 bytes at most, whatever the input.
-    cuts = checkpointed(rows.agg(F.min(_key()).alias("least"), F.sort_array(F.collect_set(F.when(picked, _key()))).alias("bounds")))
-    keyed = rows.withColumn("key", _key()).crossJoin(F.broadcast(cuts))
-    cell = _bounds_up_to(F.col("bounds"), F.col("key"), 4 * MAX_CELLS)
-    keyed = keyed.select("doc_id", "text", "m", cell.alias("cell"), picked.alias("begins"), (F.col("key") == F.col("least")).alias("least"), F.size("bounds").alias("last"))
+    # One row of about MAX_CELLS keys at most, whatever the input.  As a constant it is no part of any row.
+    least, cuts = rows.agg(F.min(_key()), F.sort_array(F.collect_set(F.when(picked, _key())))).first()
+    kind = "struct<known: boolean, id: bigint, h: bigint>"
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    bounds = constant([k.asDict() for k in cuts], f"array<{kind}>")
+    keyed = rows.withColumn("key", _key())
+    cell = _bounds_up_to(bounds, F.col("key"), len(cuts)) if cuts else F.lit(0)
+    is_least = F.col("key") == constant(least.asDict() if least else None, kind)
+    keyed = keyed.select("doc_id", "text", "m", cell.alias("cell"), picked.alias("begins"), is_least.alias("least"))
     places = F.array_compact(F.array(
         F.struct("cell", F.lit(0).alias("guest")),
         F.when(F.col("begins"), F.struct((F.col("cell") - 1).alias("cell"), F.lit(1).alias("guest"))),
-        F.when(F.col("least"), F.struct(F.col("last").alias("cell"), F.lit(2).alias("guest"))),
+        F.when(F.col("least"), F.struct(F.lit(len(cuts)).alias("cell"), F.lit(2).alias("guest"))),
     ))
     both = keyed.select("doc_id", "text", "m", F.inline(places))
     by = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
