@@ -19,7 +19,7 @@ elsewhere.  The first two words have shorter contexts and no penalty for it.
 
 Within its bucket an n-gram is a code of CODE_BITS bits; bucket and code come from different mixes
 of a 64-bit hash.  Buckets are sized by characters: BUCKET_CHARS of text have at most 6 million
-n-grams, among which 0.0003 pairs are expected to share a code, whatever the size of the corpus.
+n-grams, among which 0.001 pairs are expected to share a code, whatever the size of the corpus.
 
 Defined results: a text that is null or without a word has 0 words, score 0 and a null mean; rows
 with a null or repeated doc_id are scored each on its own, leaving out its own counts; ties and
@@ -41,7 +41,7 @@ ORDER = 3
 BACKOFF = 0.4
 #: Characters of text that a block holds, on average, and whose n-grams a bucket holds: both grow in number, not in size.
 BLOCK_CHARS, BUCKET_CHARS = 6 << 20, 4 << 20
-CODE_BITS = 56
+CODE_BITS = 54
 #: Equal rows that are spread over so many parts at a time.
 PORTION = 1_000
 
@@ -145,7 +145,7 @@ def sum_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 _LISTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
 _TABLE = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary())])
+_TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("others", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 #: The bucket of an entry that counts the words of a block.
 WORDS = -1
@@ -190,7 +190,7 @@ def count_tables(listed: DataFrame) -> DataFrame:
 
 
 def joined_counts(listed: DataFrame) -> DataFrame:
-    """(block, bucket, totals): each block's n-grams joined with the count tables on bucket and n-gram.
+    """(block, bucket, others): each block's n-grams joined with the count tables on bucket and n-gram; others: counts in other blocks.
 
     The table of a bucket is summed where its n-grams lie, so the join needs no second shuffle.
     """
@@ -198,10 +198,10 @@ def joined_counts(listed: DataFrame) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         lists = _lists(group)
         values, counts = sum_lists(lists)
-        rows = [(block, bucket, pack_numbers(counts[np.searchsorted(values, own)])) for block, bucket, (own, _) in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), lists, strict=True)]
+        rows = [(block, bucket, pack_numbers(counts[np.searchsorted(values, own)] - n.astype(np.int64))) for block, bucket, (own, n) in zip(group.column("block").to_pylist(), group.column("bucket").to_pylist(), lists, strict=True)]
         return _rows(_TOTALS, rows)
 
-    return listed.groupBy("bucket").applyInArrow(join, "block long, bucket long, totals binary")
+    return listed.groupBy("bucket").applyInArrow(join, "block long, bucket long, others binary")
 
 
 def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
@@ -230,18 +230,18 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, n_chars: int | None = No
     buckets = max(1, -(-n_chars // BUCKET_CHARS))
     dealt = _dealt(docs, max(1, -(-n_chars // BLOCK_CHARS)))
     listed = exploded_ngrams(dealt, order, buckets)
-    totals = joined_counts(listed)
+    others = joined_counts(listed)
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(texts.column("text").to_pylist(), order)
-        parts = {k: unpack_numbers(t).astype(np.int64) for k, t in zip(found.column("bucket").to_pylist(), found.column("totals").to_pylist(), strict=True)}
-        counts = np.zeros(len(block.values), dtype=np.int64)
+        parts = {k: unpack_numbers(t).astype(np.int64) for k, t in zip(found.column("bucket").to_pylist(), found.column("others").to_pylist(), strict=True)}
+        counts = block.counts.astype(np.int64)
         by_bucket = np.argsort(bucket_of(block.values, buckets), kind="stable")
-        counts[by_bucket] = np.concatenate([np.empty(0, dtype=np.int64), *(parts[k] for k in sorted(parts) if k != WORDS)])
-        scored = block.scores(counts, int(parts[WORDS][0]))
+        counts[by_bucket] += np.concatenate([np.empty(0, dtype=np.int64), *(parts[k] for k in sorted(parts) if k != WORDS)])
+        scored = block.scores(counts, int(parts[WORDS][0]) + sum(block.n_words))
         return pa.Table.from_arrays([texts.column("doc_id"), pa.array([s[0] for s in scored], pa.int64()), pa.array([s[1] for s in scored], pa.float64())], schema=_SCORED)
 
-    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    scored = dealt.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
