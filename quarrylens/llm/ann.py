@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import checkpointed, few, python_ready, table
 
 TABLES, NEIGHBOURS = 12, 20
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 16384
 #: Share of the cells that a query probes among 500 vectors; it falls by this power of their number,
 #: and by that factor with each rotation beyond two.  Chosen on independent normal vectors, the hardest.
 SHARE, FALL, FINER = 0.6, 0.36, 0.6
@@ -181,22 +181,27 @@ def _block_scores(k: int):
         qid, vid = (t.column("id").to_numpy() for t in (queries, vectors))
         whole = queries.column("cells").null_count == queries.num_rows
         if whole:
-            order = np.argsort(vid, kind="stable")
+            v_cell, wanted, ends = np.zeros(len(v), dtype=np.int64), np.zeros(len(q), dtype=np.int64), np.arange(len(q) + 1)
         else:
-            cell = vectors.column("cells").combine_chunks().flatten().to_numpy()
-            order = np.lexsort((vid, cell))
-            cell = cell[order]
-        v, vid = v[order], vid[order]
+            v_cell = vectors.column("cells").combine_chunks().flatten().to_numpy()
+            lists = queries.column("cells").combine_chunks()
+            wanted, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        order = np.argsort(v_cell, kind="stable")
+        v, vid, v_cell = v[order], vid[order], v_cell[order]
+        begin, end = np.searchsorted(v_cell, wanted, "left"), np.searchsorted(v_cell, wanted, "right")
+        size = end - begin
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, wanted in enumerate([None] * len(q) if whole else queries.column("cells").to_pylist()):
-            at = np.arange(len(v))
-            if wanted is not None:
-                at = at[np.isin(cell, wanted, assume_unique=False)]
-                if not len(at):
-                    continue
-                at = at[np.argsort(vid[at], kind="stable")]
+        for i in range(len(q)):
+            lo, n = begin[ends[i] : ends[i + 1]], size[ends[i] : ends[i + 1]]
+            total = int(n.sum())
+            if not total:
+                continue
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)  # the vectors of its cells, which lie side by side
             s = (v[at] * q[i]).sum(1)  # in the same order for each row, so that finds in several tables are equal to the last bit
-            top = np.argsort(-s, kind="stable")[:k]  # ties keep the smaller id
+            if total > k:
+                best = np.flatnonzero(s >= np.partition(s, total - k)[total - k])
+                at, s = at[best], s[best]
+            top = np.lexsort((vid[at], -s))[:k]  # ties keep the smaller id
             out.append((np.full(len(top), qid[i]), vid[at[top]], s[top]))
         if not out:
             return _FOUND.empty_table()
