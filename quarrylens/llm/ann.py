@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from .common import checkpointed, few, python_ready, table
 
 TABLES, NEIGHBOURS = 12, 20
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 16384
+#: Bytes of the vectors, and of the queries, that one block holds as double numbers.
+BLOCK_BYTES = 32 << 20
 #: Share of the cells that a query probes among 500 vectors; it falls by this power of their number,
 #: and by that factor with each rotation beyond two.  Chosen on independent normal vectors, the hardest.
 SHARE, FALL, FINER = 0.6, 0.36, 0.6
@@ -148,8 +149,8 @@ def coded(rows: DataFrame, longest: float | None, n: int, query: bool, k: int |
                     e, i = emb.take(at), ids.take(at)
                     x = _unit(_matrix(e), longest, query)
                     axes = 2 << max(1, (x.shape[1] - 1).bit_length())
-                    # Cells that share their first axes are a group; of as many as hold a block of vectors.
-                    together = axes * max(1, min(axes, BLOCK_VECTORS * axes ** (k - 1) // max(n, 1)))
+                    # Cells that share their first axes are a group; of as many as hold half a block of vectors.
+                    together = axes * max(1, min(axes ** (k - 1), BLOCK_BYTES // (16 * int(size)) * axes ** (k - 1) // max(n, 1)))
                     for t in range(TABLES):
                         c = np.sort(probed(x, t, k, probes(n, axes, k, longest is not None)), axis=1) if query else cells(x, t, k)[:, None]
                         group = c // together
@@ -221,8 +222,8 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 
 def _by_blocks(qs: DataFrame, vs: DataFrame, k: int) -> DataFrame:
     """The finds of queries (id, emb, key, cells) among the vectors of the same key, block by block."""
-    q_blocks = qs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qb"))
-    v_blocks = vs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("vb"))
+    n_blocks = F.ceil(F.sum(F.size("emb").cast("long")) * 8 / BLOCK_BYTES).cast("int")
+    q_blocks, v_blocks = (rows.groupBy("key").agg(n_blocks.alias(c)) for rows, c in ((qs, "qb"), (vs, "vb")))
     blocks = few(checkpointed(q_blocks.join(v_blocks, "key")))
     spread: dict[str, Column] = {n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int") for n in ("qb", "vb")}
     qs = qs.join(blocks, "key").select("id", "emb", "cells", "key", spread["qb"].alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"))
