@@ -154,25 +154,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / every if every else 0.0
 
 
-def join_hot(rows: DataFrame, side: DataFrame, n: str) -> DataFrame:
-    """rows joined with side (key, n, ...; one narrow row a key) where rows has n rows of a key.
+def hot_keys(sizes: DataFrame) -> DataFrame | None:
+    """(key) of the keys with more than HOT rows, for a broadcast; None if there are none (or too many); sizes: (key, n)."""
+    hot = checkpointed(sizes.filter(F.col("n") > HOT).select("key"))
+    return F.broadcast(hot) if 0 < hot.count() <= BROADCAST_ROWS else None
 
-    Keys of more than HOT rows, of which there can be few, meet theirs by broadcast.
-    """
-    hot = checkpointed(side.filter(F.col(n) > HOT))
-    many = hot.count()
-    if not many or many > BROADCAST_ROWS:
+
+def join_hot(rows: DataFrame, side: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with side (one narrow row a key) on key; the rows of hot keys meet theirs by broadcast."""
+    if hot is None:
         return rows.join(side, "key")
-    hot = F.broadcast(hot)
-    cold = rows.join(hot.select("key"), "key", "left_anti").join(side.filter(F.col(n) <= HOT), "key")
-    return cold.unionByName(rows.join(hot, "key"))
+    cold = rows.join(hot, "key", "left_anti").join(side.join(hot, "key", "left_anti"), "key")
+    return cold.unionByName(rows.join(F.broadcast(side.join(hot, "key", "left_semi")), "key"))
 
 
-def spread_hubs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) with a salt, and (b, salt): a hub b of many pairs has several salts, HOT pairs each."""
+def spread_hubs(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) with a salt, and (b, salt): a hub b of many pairs has several salts, HOT pairs each; n: number of pairs."""
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("salts"))
-    large = checkpointed(hubs.filter("salts > 1"))
-    salted = pairs.join(few(large), "b", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    large = hubs.filter("salts > 1")  # of n pairs at most n / HOT are
+    salted = pairs.join(F.broadcast(large) if n <= HOT * BROADCAST_ROWS else large, "b", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     salted = salted.select("a", "b", F.pmod(F.xxhash64("a", F.lit(9)), F.col("salts")).cast("int").alias("salt"))
     return salted, hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, by comparing their shingle multisets."""
     python_ready(docs.sparkSession)
     n = pairs.count()
-    pairs, hubs = spread_hubs(pairs.select("a", "b"))
+    pairs, hubs = spread_hubs(pairs.select("a", "b"), n)
     if n <= BROADCAST_ROWS:  # narrow rows: then texts meet their pairs where they are read
         pairs, hubs = F.broadcast(pairs), F.broadcast(hubs)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
@@ -242,7 +242,7 @@ def promising(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     if least <= 0:
         return pairs.select("a", "b")
     pairs = checkpointed(pairs)
-    salted, hubs = spread_hubs(pairs)
+    salted, hubs = spread_hubs(pairs, pairs.count())
     sigs = sigs.select("id", "sig")
     right = hubs.join(sigs.toDF("b", "sig_b"), "b")
     both = salted.join(sigs.toDF("a", "sig_a"), "a").join(right, ["b", "salt"]).select("a", "b", "sig_a", "sig_b")
@@ -316,17 +316,17 @@ def _block_links(queries: pa.Table, members: pa.Table, least: float) -> pa.Table
     return _pairs(a, b)
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
     """members (key, id, score, n, chars) with class and main, of the buckets that hold several components.
 
     main: the class of the bucket's best-connected member.
     """
     known = members.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"), F.first("n").alias("_n"))
-    return join_hot(known, mixed.filter("lo <> hi").select("key", "main", "_n"), "_n").drop("_n")
+    mixed = known.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("score", (-F.col("id")).alias("minus"), "class"))["class"].alias("main"))
+    return join_hot(known, mixed.filter("lo <> hi").select("key", "main"), hot)
 
 
-def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], side: DataFrame) -> DataFrame:
+def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], side: DataFrame, hot: DataFrame | None) -> DataFrame:
     """f over every pair of blocks of each large bucket: members outside the main class against all.
 
     side: (id, more columns), attached last.  Who belongs to which blocks is settled on narrow
@@ -336,14 +336,14 @@ def _by_blocks(open_: DataFrame, columns: list[str], f: Callable[[pa.Table, pa.T
     python_ready(open_.sparkSession)
     asks = F.col("class") != F.col("main")
     blocks = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS)).cast("int")
-    sizes = many.groupBy("key").agg(blocks(F.count_if(asks), F.sum(F.when(asks, F.col("chars")).otherwise(0))).alias("qb"), blocks(F.count(F.lit(1)), F.sum("chars")).alias("vb"), F.first("n").alias("_n"))
+    sizes = many.groupBy("key").agg(blocks(F.count_if(asks), F.sum(F.when(asks, F.col("chars")).otherwise(0))).alias("qb"), blocks(F.count(F.lit(1)), F.sum("chars")).alias("vb"))
     spread = {c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int") for c in ("qb", "vb")}  # ids are dealt to blocks by a hash
     all_v, all_q = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("vb", "qb"))
     as_query = F.transform(all_v, lambda v: F.struct(spread["qb"].alias("q"), v.alias("v"), F.lit("q").alias("role")))
     as_member = F.transform(all_q, lambda q: F.struct(q.alias("q"), spread["vb"].alias("v"), F.lit("v").alias("role")))
     alone = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("v"), F.when(asks, "b").otherwise("v").alias("role")))
     places = F.when((F.col("qb") == 1) & (F.col("vb") == 1), alone).when(asks, F.concat(as_query, as_member)).otherwise(as_member)
-    rows = join_hot(many, sizes, "_n").select("key", "id", "class", F.inline(places)).join(side, "id").select("key", "q", "v", "role", *columns)
+    rows = join_hot(many, sizes, hot).select("key", "id", "class", F.inline(places)).join(side, "id").select("key", "q", "v", "role", *columns)
 
     def run(group: pa.Table) -> pa.Table:
         role = group.column("role")
@@ -360,12 +360,12 @@ def remaining_pairs(open_: DataFrame, sigs: DataFrame, least: float) -> DataFram
     return promising(small, sigs, least)
 
 
-def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def block_links(open_: DataFrame, sigs: DataFrame, docs: DataFrame, least: float, hot: DataFrame | None) -> DataFrame:
     """Verified links (a < b) that join the components left in large buckets."""
     large = open_.filter(F.col("n") > SMALL_BUCKET)
     ids = checkpointed(large.select("id").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(few(ids), "id", "left_semi")
-    return _by_blocks(large, ["id", "class", "sig", "text"], lambda q, v: _block_links(q, v, least), sigs.join(texts, "id"))
+    return _by_blocks(large, ["id", "class", "sig", "text"], lambda q, v: _block_links(q, v, least), sigs.join(texts, "id"), hot)
 
 
 def _made_ids(texts: DataFrame, used: DataFrame) -> DataFrame:
@@ -424,24 +424,25 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     buckets = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"), "chars")
     sizes = checkpointed(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     score = F.sum("n").over(Window.partitionBy("id"))  # over a text's bands
-    members = checkpointed(join_hot(buckets, sizes, "n").select("key", "id", score.alias("score"), "n", "chars"))
+    hot = hot_keys(sizes)
+    members = checkpointed(join_hot(buckets, sizes, hot).select("key", "id", score.alias("score"), "n", "chars"))
     sigs = checkpointed(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi"))
 
-    hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"), F.first("n").alias("_n")).select("key", (-F.col("top.minus")).alias("b"), "_n")
-    stars = join_hot(members, hub, "_n").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    hub = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("b"))
+    stars = join_hot(members, hub, hot).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     stars = checkpointed(promising(stars, sigs, least))
     links = checkpointed(verified(stars, docs))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links)
-    open_ = checkpointed(_open_buckets(members, labels))
+    open_ = checkpointed(_open_buckets(members, labels, hot))
     if not open_.isEmpty():
         pairs = checkpointed(remaining_pairs(open_, sigs, least).join(tried, ["a", "b"], "left_anti"))
         links = checkpointed(links.unionByName(verified(pairs, docs)))
         large = members.filter(F.col("n") > SMALL_BUCKET)
         if not large.isEmpty():
             labels = components(links)
-            open_ = checkpointed(_open_buckets(large, labels))
-            links = links.unionByName(block_links(open_, sigs, docs, least))
+            open_ = checkpointed(_open_buckets(large, labels, hot))
+            links = links.unionByName(block_links(open_, sigs, docs, least, hot))
         labels = components(links)
 
     folded = folded.join(labels, "id", "left").select("digest", F.coalesce("class", "id").alias("rep"))

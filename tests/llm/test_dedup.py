@@ -152,7 +152,7 @@ def test_hot_keys_and_hubs_are_spread(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs(spark, texts)).collect()} == want
     pairs = spark.range(1, 500).selectExpr("id as a", "0L as b")
     monkeypatch.setattr(neardup, "HOT", 50)
-    salted, hubs = neardup.spread_hubs(pairs)
+    salted, hubs = neardup.spread_hubs(pairs, 499)
     sizes = [r["count"] for r in salted.groupBy("b", "salt").count().collect()]
     assert len(sizes) == hubs.count() == 10 and max(sizes) < 100
 

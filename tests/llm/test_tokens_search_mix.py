@@ -246,8 +246,7 @@ def test_unequal_norms_copies_and_bad_vectors(spark):
 
 
 def test_blocks_of_hot_cells(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_VECTORS", 8)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 8 * 3)
     r = np.random.default_rng(5)
     near = [(i, (np.array([1.0] + [0.0] * 7) + 0.01 * r.standard_normal(8)).tolist()) for i in range(150)]
     df = spark.createDataFrame(near, "vec_id long, embedding array<double>")
