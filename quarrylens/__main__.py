@@ -39,20 +39,26 @@ def main(argv: list[str] | None = None) -> int:
         for r in bad:
             print(f"{r.path}: {r.status}")
         return 1 if bad else 0
-    hashes = tuple(r[0] for r in readers.driver_hashes(spark, args.driver_list).collect()) if args.driver_list else ()  # a list that a person keeps
-    params = Params(as_of=datetime.now(UTC).replace(tzinfo=None), host=args.host, driver_hashes=hashes)
+    params = Params(as_of=datetime.now(UTC).replace(tzinfo=None), host=args.host)
+    if args.driver_list:  # a list that a person keeps, instead of the bundled one
+        params.driver_hashes = tuple(r[0] for r in readers.driver_hashes(spark, args.driver_list).collect())
     tables = readers.read_all(spark, args.source) if args.command == "run" else {"event": readers.read_event_json(spark, args.source)}
     if args.since:
         tables["event"] = readers.since(tables["event"], F.lit(args.since).cast("timestamp"))
-    rules = pipeline.Analyzer("sigma", sigma.analyzer(sigma.load_rules(args.rules), args.aliases))
+    loaded, rejected = sigma.read_rules(args.rules)
+    rules = pipeline.Analyzer("sigma", sigma.analyzer(loaded, args.aliases))
     analyzers = pipeline.ANALYZERS if args.command == "run" else ()
     result = pipeline.run(spark, tables, params, analyzers, (rules,))
     records = tables if args.command == "run" else None
-    manifest.write_directory(result.findings, result.observations, args.out, records, host=args.host, case_id=args.case_id, errors="; ".join(result.errors))
+    manifest.write_directory(result.findings, result.observations, args.out, records, host=args.host, case_id=args.case_id, errors="; ".join(result.errors), rules=str(len(loaded)), rules_rejected="; ".join(rejected))
     report.write_report(str(Path(args.out) / "report.html"), result.findings, result.observations, tables)
     if args.zip:
         manifest.write_zip(args.out, args.zip)
-    return 0
+    for line in rejected:
+        print(f"rule rejected: {line}", file=sys.stderr)
+    for line in result.errors:  # the outputs lack what these analyzers would have found
+        print(f"analyzer failed: {line}", file=sys.stderr)
+    return 2 if result.errors else 0
 
 
 if __name__ == "__main__":

@@ -46,7 +46,7 @@ select 'tcp' as proto, '10.0.0.1' as laddr, cast(l_linenumber * 500 as int) as l
   case when l_orderkey % 11 = 0 then null else concat(cast(l_suppkey % 250 + 1 as varchar(20)), '.', cast(l_partkey % 256 as varchar(20)), '.', cast(l_orderkey % 256 as varchar(20)), '.', cast(l_linenumber as varchar(20))) end as raddr,
   cast(case l_orderkey % 5 when 0 then 443 when 1 then 4444 when 2 then 0 when 3 then 8081 end as int) as rport,
   case l_linenumber % 3 when 0 then 'listen' when 1 then 'established' end as state, l_partkey as pid, l_orderkey * 8 + l_linenumber as _ord
-from {lineitem} where l_orderkey % 4 = 1""",
+from {lineitem}""",
     "persistence": f"""
 select case c_custkey % 7 when 0 then 'winlogon' when 1 then 'ifeo' when 2 then 'wmi_subscription' when 3 then 'startup' when 4 then 'run_key' when 5 then 'service' else 'scheduled_task' end as mechanism,
   concat('HKLM', chr(92), 'Software', chr(92), 'K', cast(c_custkey as varchar(20))) as location,
@@ -92,7 +92,7 @@ def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event records, with their data map."""
     flat = view(spark, sf_dir, "event_flat")
     fields = {"TargetUserName": "target_user", "IpAddress": "ip", "WorkstationName": "station", "MemberName": "member", "Image": "image", "CommandLine": "cmdline"}
-    pairs = [x for k, c in fields.items() for x in (F.lit(k), F.col(c))]
+    pairs = [x for k, c in fields.items() for x in (F.lit(k), F.col(c))] + [F.lit("EventID"), F.col("event_id").cast("string"), F.lit("ImagePath"), F.col("image")]
     return flat.select("ts", "channel", "event_id", "provider", "computer", "record_id", F.create_map(*pairs).alias("data"), "_ord")
 
 

@@ -124,7 +124,11 @@ def _(s, d):
     return sigma.match(adapters.event(s, d), rules).groupBy(F.col("rule.id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_record"))
 
 
-@query("sigma_bundled_rules")
+@query("sigma_bundled_rules", "event_flat", """SELECT 'Account created' AS title, count(*) AS n FROM event_flat WHERE channel = 'Security' AND event_id = 4720 HAVING count(*) > 0
+UNION ALL SELECT 'Member added to a group', count(*) FROM event_flat WHERE channel = 'Security' AND event_id = 4732 HAVING count(*) > 0
+UNION ALL SELECT 'Failed logon that names no station', count(*) FROM event_flat WHERE channel = 'Security' AND event_id = 4625 AND station = '-' HAVING count(*) > 0
+UNION ALL SELECT 'Service with a program in a user-writable folder', count(*) FROM event_flat WHERE channel = 'System' AND event_id = 7045 HAVING count(*) > 0
+UNION ALL SELECT 'Tool run quietly from a folder of tools', count(*) FROM event_flat WHERE contains(cmdline, '-p7') AND contains(cmdline, '/quiet') HAVING count(*) > 0""")
 def _(s, d):
     return sigma.match(adapters.event(s, d), sigma.load_rules()).groupBy(F.col("rule.title").alias("title")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -276,10 +280,13 @@ def _(s, d):
     return _near(s, d).groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first_event"))
 
 
-@query("temporal_topk", "process usn_event", f"WITH {_NEAR} SELECT pid, o, rn FROM (SELECT pid, o, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, o) AS rn FROM nr) WHERE rn <= 2")
+@query("temporal_topk", "process usn_event", f"""WITH {PARENTCHILD}, {_STARTS}, nr AS (SELECT pid, u._ord AS o, u.ts, u.path FROM st JOIN usn_event u ON u.ts BETWEEN st.s AND st.s + INTERVAL 5 MINUTE),
+k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, o) AS rn FROM nr) SELECT pid, epoch_us(ts) AS us, path, count(*) AS n FROM pc JOIN k USING (pid) WHERE weight >= 15 AND rn <= 2 GROUP BY 1, 2, 3""")
 def _(s, d):
-    w = Window.partitionBy("pid").orderBy(F.col("ts").desc(), "o")
-    return _near(s, d).withColumn("rn", F.row_number().over(w).cast("bigint")).filter("rn <= 2").select("pid", "o", "rn")
+    tb = {k: x for k, x in adapters.tables(s, d).items() if k != "net_conn"}
+    p = a.Params(as_of=PARAMS.as_of, temporal_evidence=2)
+    found = a.temporal(tb, a.parentchild(tb, None, p, s), p, s).select("entity.process.pid", F.explode("evidence").alias("e")).filter("e.artifact = 'usn_temporal'")
+    return found.groupBy("pid", F.unix_micros("e.ts").alias("us"), F.col("e.path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("temporal_findings", "process usn_event net_conn", f"WITH {PARENTCHILD}, {_NEAR}, r AS (SELECT pid, CASE WHEN weight >= 70 THEN 4 WHEN weight >= 50 THEN 3 WHEN weight >= 30 THEN 2 ELSE 1 END AS k FROM pc WHERE weight >= 15) SELECT {_SEV.format(r='least(4, k + 1)')} AS severity, count(*) AS n FROM r WHERE pid IN (SELECT pid FROM nr) OR pid IN (SELECT pid FROM net_conn) GROUP BY 1")
@@ -406,20 +413,6 @@ def _(s, d):
     return joins.mft_paths(adapters.view(s, d, "mft"))
 
 
-@query("profile_sid_lookup", "", "SELECT o_orderkey, coalesce(c_name, '-') AS sid FROM orders LEFT JOIN customer ON o_custkey * 2 = c_custkey")
-def _(s, d):
-    profiles = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c:\\users\\"), F.col("c_custkey")).alias("folder"), F.col("c_name").alias("sid"), F.col("c_custkey").alias("_ord"))
-    rows = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", t.ascii_lower(F.concat(F.lit("C:\\Users\\"), F.col("o_custkey") * 2)).alias("folder"))
-    return rows.join(joins.last_by_key(profiles, "folder"), "folder", "left").select("o_orderkey", F.coalesce("sid", F.lit("-")).alias("sid"))
-
-
-@query("srum_id_fallback", "", "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'id:' || CAST(l_suppkey + l_linenumber AS VARCHAR)) AS app FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey + l_linenumber")
-def _(s, d):
-    names = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("app_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("_ord"))
-    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") + F.col("l_linenumber")).alias("app_id"))
-    return rows.join(joins.last_by_key(names, "app_id"), "app_id", "left").select("l_orderkey", "l_linenumber", F.coalesce("name", F.concat(F.lit("id:"), F.col("app_id"))).alias("app"))
-
-
 # ---- outputs --------------------------------------------------------------------------------
 
 
@@ -428,10 +421,10 @@ def _(s, d):
     return timeline.timeline_rows(a.account({"event": adapters.event(s, d)}, None, PARAMS, s)).select("Timestamp", "Severity", "MITRE", "EventID")
 
 
-@query("timeline_dedup", "event_flat", f"SELECT DISTINCT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_id FROM event_flat WHERE channel = 'Security' AND event_id IN (4720, 4732)")
+@query("timeline_dedup", "event_flat", "SELECT CAST(event_id AS VARCHAR) AS \"EventID\", count(DISTINCT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '|' || target_user || '|' || CASE WHEN event_id = 4732 THEN member ELSE '' END) AS n FROM event_flat WHERE channel = 'Security' AND event_id IN (4720, 4732) GROUP BY 1")
 def _(s, d):
-    rows = adapters.event(s, d).filter("channel = 'Security' and event_id in (4720, 4732)").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
-    return timeline.drop_adjacent(rows, ["day", "event_id"])
+    rows = timeline.timeline_rows(a.account({"event": adapters.event(s, d)}, None, PARAMS, s))
+    return timeline.sorted_timeline(rows.unionAll(rows)).groupBy("EventID").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("bodyfile_lines", "file_meta usn_event", "SELECT '0|' || path || '|0|0|0|0|' || size || '|' || coalesce(CAST(floor(epoch(si_mtime)) AS BIGINT), 0) || '|' || coalesce(CAST(floor(epoch(si_mtime)) AS BIGINT), 0) || '|' || coalesce(CAST(floor(epoch(fn_mtime)) AS BIGINT), 0) || '|' || coalesce(CAST(floor(epoch(si_btime)) AS BIGINT), 0) AS line FROM file_meta UNION ALL SELECT '0|' || path || '|0|0|0|0|0|0|' || CAST(floor(epoch(ts)) AS BIGINT) || '|0|0' FROM usn_event")
@@ -465,10 +458,9 @@ def _(s, d):
     return panels.usn_panel(adapters.tables(s, d)["usn_event"]).select(F.unix_micros("ts").alias("us"), "path", "reason")
 
 
-@query("panel_executions", "execution", "SELECT source, count(*) AS n, max(epoch_us(first_run)) AS latest_us FROM execution GROUP BY 1")
+@query("panel_executions", "execution", "SELECT source, path, run_count, epoch_us(first_run) AS us FROM execution")
 def _(s, d):
-    rows = adapters.view(s, d, "execution")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("first_run")).alias("latest_us"))
+    return panels.execution_panel(adapters.view(s, d, "execution")).select("source", "path", "run_count", F.unix_micros("first_run").alias("us"))
 
 
 @query("top_rules", "event_flat", f"WITH m AS ({_THREE}), x AS (SELECT m.rule_id, e.computer FROM m JOIN event_flat e USING (record_id)) SELECT rule_id, computer AS host, count(*) AS n FROM x GROUP BY 1, 2")
@@ -491,10 +483,9 @@ def _(s, d):
     return compare_hashes(listed, there).select(F.col("path").cast("bigint").alias("doc_id"), "status")
 
 
-@query("topk_alerts", "process", f"WITH {PARENTCHILD} SELECT CASE WHEN weight >= 70 THEN 'CRITICAL' ELSE 'HIGH' END AS label, pid, _ord AS ord FROM pc WHERE weight >= 50 ORDER BY _ord LIMIT 5")
+@query("topk_alerts", "process", f"WITH {PARENTCHILD} SELECT CASE WHEN weight >= 70 THEN 'CRITICAL' ELSE 'HIGH' END AS label, 'Unusual start of ' || {_base('image')} AS title, epoch_us(start_time) AS us FROM pc WHERE weight >= 50 ORDER BY weight >= 70 DESC, start_time, title, pid LIMIT 5")
 def _(s, d):
-    rows = a.parentchild_scores(adapters.tables(s, d)["process"]).filter("weight >= 50").orderBy("_ord").limit(5)
-    return rows.select(F.upper(severity_of(v.severity_rank(F.col("weight")))).alias("label"), "pid", F.col("_ord").alias("ord"))
+    return panels.top_alerts(a.parentchild(adapters.tables(s, d), None, PARAMS, s)).select("label", "title", F.unix_micros("ts").alias("us"))
 
 
 @query("module_selection", "", "SELECT * FROM (VALUES ('minimal', 'net', true), ('minimal', 'proc', true), ('standard', 'mft', true), ('standard', 'proc', true), ('standard', 'bogus', false)) AS x(profile, module, selected)")
@@ -524,3 +515,6 @@ def _(s, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brute-force and spraying findings as a timeline."""
     return timeline.timeline_rows(a.logon_bruteforce({"event": adapters.event(spark, sf_dir)}, None, PARAMS, spark))
+
+
+from . import catalog_sources  # noqa: E402, F401  registers its queries, with this module's helpers

@@ -74,10 +74,12 @@ def mft_paths(entries: DataFrame, root: int = 5, drive: str = "C:", depth: int =
 
     Each round joins what a record has climbed with what its ancestor has climbed, so a path of d
     components takes log2(d) rounds; a walk ends at the root, at a missing parent, at a record
-    seen before, or after `depth` components.  Of several entries for a record the last counts.
+    seen before, or after `depth` components.  Of several entries for a record the last counts.  The low
+    48 bits of rec and parent are record numbers; what lies above tells volumes apart.
     """
+    is_root = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1)) == root
     base = last_by_key(entries.select("rec", "name", "parent", "_ord"), "rec").select("rec", F.col("parent").alias("at"), F.array(F.struct("rec", "name")).alias("up"))
-    walk, climbed = checkpointed(base.filter(F.col("rec") != root)), 1
+    walk, climbed = checkpointed(base.filter(~is_root("rec"))), 1
     while climbed < depth:
         step = walk.select(F.col("rec").alias("at"), F.col("at").alias("at2"), F.col("up").alias("up2"))
         longer = walk.join(step, "at", "left")
@@ -93,5 +95,5 @@ def mft_paths(entries: DataFrame, root: int = 5, drive: str = "C:", depth: int =
     # A walk that comes to a record again goes round for ever: its distinct records are what comes before.
     n = F.least(F.size(F.array_distinct(F.transform("up", lambda x: x["rec"]))), F.lit(depth))
     names = F.transform(F.reverse(F.slice("up", 1, n)), lambda x: x["name"])
-    complete = (F.col("at") == root) & (F.size("up") == n) & (n < depth)
+    complete = is_root("at") & (F.size("up") == n) & (n < depth)
     return walk.select("rec", F.concat(F.lit(drive + "\\"), F.array_join(names, "\\")).alias("path"), complete.alias("complete"))

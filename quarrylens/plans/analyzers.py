@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..functions import values as v
 from ..operators import joins, windows
 from ..operators.scoring import Hit, Signal, gated, scored, top_hit
 from ..schema import EVIDENCE, OBSERVATION_SCHEMA, empty, entity, evidence, findings, process_entity, rank, severity_of
+from ..storage import checkpointed
 
 Tables = dict[str, DataFrame]
 
@@ -34,6 +36,12 @@ PERSIST_MARKER = "source: heur_persist"
 WEB = ("http://", "https://")
 
 
+def bundled_drivers() -> tuple[str, ...]:
+    """The hashes of the list that comes with the package."""
+    lines = Path(__file__).with_name("known_drivers.txt").read_text(encoding="utf-8").splitlines()
+    return tuple(x.split("#")[0].strip() for x in lines if x.split("#")[0].strip())
+
+
 @dataclass
 class Params:
     """What a run is configured by; times in microseconds."""
@@ -50,7 +58,7 @@ class Params:
     recent_persist_days: int = 7
     recent_first_run_days: int = 30
     recent_account_days: int = 90
-    driver_hashes: tuple[str, ...] = ()
+    driver_hashes: tuple[str, ...] = field(default_factory=bundled_drivers)
     host: str = ""
 
     @property
@@ -80,7 +88,7 @@ def parentchild_scores(processes: DataFrame, exclude_pids: tuple[int, ...] = ())
     combo = F.coalesce(masked, F.lit(False)) | F.coalesce(office, F.lit(False)) | F.coalesce(script, F.lit(False)) | encoded | lolbas
     unsigned = combo & (F.col("signed") == False)  # noqa: E712  null is not false
     return scored(rows, [
-        Signal(masked, 60, F.concat(F.lit("system binary name outside the Windows tree: "), F.col("image")), "T1036.005"),
+        Signal(masked, 60, F.concat(F.lit("bears the name of a system program but lies elsewhere: "), F.col("image")), "T1036.005"),
         Signal(office, 50, F.concat(F.lit("Office program "), parent, F.lit(" started "), name), "T1059"),
         Signal(script, 30, F.concat(F.lit("script host "), parent, F.lit(" started "), name), "T1059"),
         Signal(encoded, 40, F.lit("encoded PowerShell command"), "T1059.001"),
@@ -93,11 +101,11 @@ def parentchild_scores(processes: DataFrame, exclude_pids: tuple[int, ...] = ())
 
 def parentchild(tables: Tables, prior: DataFrame | None, p: Params, spark: SparkSession) -> DataFrame:
     rows = parentchild_scores(records(tables, "process", spark), p.exclude_pids)
-    rows = rows.withColumn("rank", v.severity_rank(F.col("weight"))).filter("rank is not null")
+    rows = checkpointed(rows.withColumn("rank", v.severity_rank(F.col("weight"))).filter("rank is not null"))  # texts are built for these alone
     name = t.base_name(F.col("image"))
     command = F.when(F.coalesce("cmdline", F.lit("")) != "", F.concat(F.lit(", cmd="), F.col("cmdline"))).otherwise("")
     return findings(
-        rows, "heur_parentchild", p.now, severity=severity_of(F.col("rank")), title=F.concat(F.lit("Suspicious process: "), name), artifact="process",
+        rows, "heur_parentchild", p.now, severity=severity_of(F.col("rank")), title=F.concat(F.lit("Unusual start of "), name), artifact="process",
         ts=F.coalesce("start_time", p.now), mitre=F.col("mitre"), reason=F.array_join("reasons", "; "), entity=entity(process=process_entity()),
         details=F.concat(name, F.lit(" (pid="), F.col("pid"), F.lit(", parent="), F.col("ppid"), command, F.lit(")")),
     )
@@ -130,7 +138,7 @@ def persist_hits(entries: DataFrame, p: Params) -> DataFrame:
         Hit(F.when(mech == "ifeo", F.when(untrusted, 3).otherwise(2)), "IFEO debugger", F.concat(F.lit("IFEO debugger set ("), F.col("location"), F.lit(")"), F.when(untrusted, "; unsigned or in a user-writable path").otherwise("; signed, system or vendor path")), "T1546.012"),
         Hit(F.when((mech == "wmi_subscription") & F.col("binary_path").isNull(), F.when(script, 3).otherwise(2)), "WMI event script", F.concat(F.lit("WMI event subscription runs an inline script"), F.when(script, " with dynamic or remote content").otherwise(""), F.lit(": "), content), "T1546.003"),
         Hit(F.when(placed & unsigned & t.user_writable(path), 3), "Unsigned binary in a user-writable path", F.concat(F.lit("unsigned binary in a user-writable path: "), path), "T1036"),
-        Hit(F.when(placed & t.masquerade(path), 3), "System name elsewhere", F.concat(F.lit("system binary name outside the Windows tree: "), path), "T1036.005"),
+        Hit(F.when(placed & t.masquerade(path), 3), "System name elsewhere", F.concat(F.lit("bears the name of a system program but lies elsewhere: "), path), "T1036.005"),
         Hit(F.when(placed & F.col("signed").isNull() & (path != "") & ~t.system_or_program_files(path) & fresh, 2), "New and unverifiable", F.concat(F.lit("written within "), F.lit(p.recent_persist_days), F.lit(" days, signature unverifiable, outside system paths: "), path), "T1547"),
         Hit(F.when(runs_script, F.when(loud, 3).when(t.contains_any(low, SCRIPT_EXTENSIONS), 1)), F.when(loud, "Interpreter with encoded or remote content").otherwise("Script file"), F.concat(F.lit("runs "), invoked, F.lit(": "), shown), "T1059"),
     ])
@@ -145,14 +153,16 @@ def persist_details() -> Column:
 
 def persist_ranked(tables: Tables, p: Params, spark: SparkSession) -> DataFrame:
     """Entries with hits, their corroborating executions and processes, and the final rank."""
-    entries = persist_hits(records(tables, "persistence", spark), p).filter(F.size("hits") > 0)
+    # The few entries with a hit are kept before texts are built and both joins look at them: one plan of
+    # all that is too large to be compiled, and would compute the signals several times.
+    entries = checkpointed(persist_hits(records(tables, "persistence", spark), p).filter(F.size("hits") > 0))
     key = F.coalesce("binary_path", "command", F.lit(""))
     runs = records(tables, "execution", spark)
     run = F.struct("source", "path", "run_count", "first_run", "last_run")
     processes = records(tables, "process", spark)
     proc = F.struct("pid", "ppid", "image", "cmdline", "signed", "integrity", "start_time")
     entries = entries.join(joins.two_tier_matches(entries, "_ord", key, runs, "path", run).toDF("_ord", "runs", "runs_degraded"), "_ord", "left")
-    entries = entries.join(joins.two_tier_matches(entries, "_ord", key, processes, "image", proc).toDF("_ord", "procs", "procs_degraded"), "_ord", "left")
+    entries = checkpointed(entries.join(joins.two_tier_matches(entries, "_ord", key, processes, "image", proc).toDF("_ord", "procs", "procs_degraded"), "_ord", "left"))
     found = F.col("runs").isNotNull() | F.col("procs").isNotNull()
     degraded = F.coalesce("runs_degraded", F.lit(False)) | F.coalesce("procs_degraded", F.lit(False))
     base = F.array_max(F.transform("hits", lambda h: h["rank"]))
@@ -204,17 +214,19 @@ def persist_observations(tables: Tables, p: Params, spark: SparkSession) -> Data
 # ---- network connections --------------------------------------------------------------------
 
 
+def evidence_names(prior: DataFrame) -> DataFrame:
+    """(base): the base names in the evidence of persistence findings, each once.  One is enough: an equal path implies it."""
+    seen = prior.filter(F.contains("reason", F.lit(PERSIST_MARKER))).select(F.explode("evidence.path").alias("path")).filter("path is not null")
+    return checkpointed(seen.select(t.ascii_lower(t.short_name(F.col("path"))).alias("base")).filter("base <> ''").distinct())
+
+
 def netconn_scores(connections: DataFrame, processes: DataFrame, prior: DataFrame | None, exclude_pids: tuple[int, ...] = ()) -> DataFrame:
     """Every connection with its owner, weight, reasons and mitre; prior: findings of the persistence analyzer."""
     rows = connections.filter(F.col("pid").isNull() | ~F.col("pid").isin(*exclude_pids)) if exclude_pids else connections
     owners = joins.prefixed(joins.last_by_key(processes, "pid").select("pid", "ppid", "image", "cmdline", "signed", "integrity"), "o_")
     rows = rows.join(owners, F.col("pid") == F.col("o_pid"), "left").withColumn("base", t.ascii_lower(t.base_name(F.col("o_image"))))
-    if prior is None:
-        rows = rows.withColumn("corroborated", F.lit(False))
-    else:
-        # A base name in the evidence is enough: an equal path implies it.
-        seen = prior.filter(F.contains("reason", F.lit(PERSIST_MARKER))).select(F.explode("evidence.path").alias("path")).filter("path is not null")
-        rows = joins.exists_flag(rows, seen.select(t.ascii_lower(t.short_name(F.col("path"))).alias("base")).filter("base <> ''"), "base", "corroborated")
+    names = None if prior is None else evidence_names(prior)
+    rows = rows.withColumn("corroborated", F.lit(False)) if names is None else joins.exists_flag(rows, names, "base", "corroborated")
     rare = F.coalesce((F.col("rport") != 0) & v.rare_port(F.col("rport")), F.lit(False))
     public = v.public_ipv4(F.col("raddr")) & rare
     placed, unsigned = t.suspicious_path(F.col("o_image")), F.col("o_signed") == False  # noqa: E712
@@ -232,7 +244,7 @@ def netconn_scores(connections: DataFrame, processes: DataFrame, prior: DataFram
 
 def netconn(tables: Tables, prior: DataFrame | None, p: Params, spark: SparkSession) -> DataFrame:
     rows = netconn_scores(records(tables, "net_conn", spark), records(tables, "process", spark), prior, p.exclude_pids)
-    rows = rows.filter("weight >= 50").withColumn("rank", v.severity_rank(F.col("weight")))
+    rows = checkpointed(rows.filter("weight >= 50").withColumn("rank", v.severity_rank(F.col("weight"))))
     target = F.concat(F.coalesce("raddr", F.lit("-")), F.lit(":"), F.coalesce(F.col("rport").cast("string"), F.lit("-")))
     owner = F.when(F.col("o_pid").isNotNull(), process_entity("o_"))
     conn = F.struct("laddr", "lport", "raddr", "rport", "pid")

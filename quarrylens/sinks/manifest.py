@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MANIFEST_SCHEMA
-from . import timeline
+from . import panels, timeline
 
 
 def compare_hashes(listed: DataFrame, there: DataFrame) -> DataFrame:
@@ -42,6 +42,12 @@ def ruleset_digest(folder: str | Path) -> str:
     return hashlib.sha256("".join(lines).encode()).hexdigest()
 
 
+def file_digest(path: Path) -> str:
+    """SHA-256 of a local file, read piece by piece."""
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def _place(folder: Path, name: str) -> Path:
     path = folder / name
     if path.is_symlink():
@@ -69,9 +75,10 @@ def write_directory(findings: DataFrame, observations: DataFrame, folder: str, r
         with _place(out, name).open("w", encoding="utf-8") as f:
             f.writelines(r[0] + "\n" for r in rows.toLocalIterator())
     names = ["timeline.csv", *streams]
-    listed = [{"path": n, "sha256": hashlib.sha256((out / n).read_bytes()).hexdigest(), "size": os.path.getsize(out / n)} for n in names]
+    listed = [{"path": n, "sha256": file_digest(out / n), "size": os.path.getsize(out / n)} for n in names]
     counts = {r[0]: r[1] for r in findings.groupBy("severity").count().collect()}
-    manifest = {"schema": MANIFEST_SCHEMA, "created": datetime.now(UTC).isoformat(), **about, "outputs": listed, "findings_by_sev": dict(sorted(counts.items()))}
+    totals = {r[0]: r[1] for r in panels.totals(records).collect()} if records else {}
+    manifest = {"schema": MANIFEST_SCHEMA, "created": datetime.now(UTC).isoformat(), **about, "outputs": listed, "findings_by_sev": dict(sorted(counts.items())), "observations": observations.count(), "records": totals}
     _place(out, "manifest.json").write_text(json.dumps(manifest, indent=2) + "\n", encoding="utf-8")
     return manifest
 

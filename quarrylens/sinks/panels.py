@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name
 from ..functions.values import public_hint
+from ..plans.pipeline import report_order
 from ..schema import rank
 
 USN_ROWS = 200
@@ -64,9 +65,20 @@ def downloads_panel(files: DataFrame) -> DataFrame:
     return files.filter("zone_identifier is not null").orderBy("path")
 
 
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, n): how many records there are of each kind."""
+    parts = [df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def by_category(observations: DataFrame) -> DataFrame:
     return observations.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy("category")
 
 
 def top_alerts(findings: DataFrame, n: int = 5) -> DataFrame:
-    return findings.filter(F.col("severity").isin("critical", "high")).select(F.upper("severity").alias("label"), "title", "ts").limit(n)
+    """The first of the critical and high findings, in the order of the report (a top-k report)."""
+    worst = report_order(findings.filter(F.col("severity").isin("critical", "high")))
+    return worst.limit(n).select(F.upper("severity").alias("label"), "title", "ts")

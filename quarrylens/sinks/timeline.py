@@ -12,6 +12,10 @@ from ..schema import rank
 COLUMNS = ("Timestamp", "Host", "Channel", "EventID", "Severity", "RecordID", "RuleTitle", "RuleAuthor", "MITRE", "Details", "Reason", "Entity", "DetailsClient")
 
 
+#: JSON writers cut times to milliseconds unless told otherwise.
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def entity_summary() -> Column:
     """One line about what a finding is about: process, else registry, else connection, else file."""
     p, r, n, f = (F.col(f"entity.{k}") for k in ("process", "registry", "netconn", "file"))
@@ -81,12 +85,12 @@ def bodyfile(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 def json_lines(rows: DataFrame) -> DataFrame:
     """(value): one JSON object a row, without null fields at the top."""
-    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value"))
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true", **_MICROS}).alias("value"))
 
 
 def tagged_records(tables: dict[str, DataFrame]) -> DataFrame:
     """(value): every record of every kind as a JSON object with its kind, nulls kept."""
-    parts = [df.orderBy("_ord").select(F.to_json(F.struct(F.lit(kind).alias("kind"), *(c for c in df.columns if c != "_ord")), {"ignoreNullFields": "false"}).alias("value")) for kind, df in tables.items()]
+    parts = [df.orderBy("_ord").select(F.to_json(F.struct(F.lit(kind).alias("kind"), *(c for c in df.columns if c != "_ord")), {"ignoreNullFields": "false", **_MICROS}).alias("value")) for kind, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

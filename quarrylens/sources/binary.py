@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.values import FILETIME_EPOCH, USN_REASONS, filetime
 from ..storage import python_ready
+from .readers import file_of, file_ranks
 
-#: Larger blobs are noted and skipped.
+#: Larger blobs are skipped; skipped_files() lists them.
 MAX_BLOB = 512 << 20
 MAX_PREFETCH = 64 << 20
 _REFERENCE = (1 << 48) - 1
@@ -172,40 +173,61 @@ def prefetch_body(b: bytes) -> bytes | None:
 
 
 def _rows(spark: SparkSession, path: str, f: Callable[[str, bytes], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
-    """f over every file below a path, a file a row."""
+    """f over every file below a path, a file a row; _ord: by path, then in the order of the file's records.
+
+    Files above MAX_BLOB are left out; skipped_files() lists them.
+    """
     python_ready(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= MAX_BLOB)
+    files = files.select("path", "content", file_of().alias("_file")).join(F.broadcast(file_ranks(files)), F.col("_file") == F.col("file"))
+    schema, types = f"{schema}, _ord long", [*types, pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = f(p, content)
+            for p, content, rank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows = [(*r, (rank << 32) + i) for i, r in enumerate(f(p, content))]
                 for at in range(0, len(rows), 10_000):
                     columns = list(zip(*rows[at : at + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content", "rank").mapInArrow(run, schema)
 
 
 def read_usn(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Change-journal records of every file; an unset time is the epoch."""
 
     def parse(p: str, b: bytes) -> list[tuple]:
-        return [(p, i, *r) for i, r in enumerate(usn_records(b, cap)[0])]
+        return usn_records(b, cap)[0]
 
-    raw = _rows(spark, path, parse, "file string, i long, ft long, path string, reason string, mft_ref long", [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])
+    raw = _rows(spark, path, parse, "ft long, path string, reason string, mft_ref long", [pa.int64(), pa.string(), pa.string(), pa.int64()])
     ts = F.coalesce(filetime(F.col("ft")), F.timestamp_seconds(F.lit(0)))
-    return raw.select(ts.alias("ts"), "path", "reason", "mft_ref", F.col("i").alias("_ord"))
+    return raw.select(ts.alias("ts"), "path", "reason", "mft_ref", "_ord")
+
+
+def usn_sources(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """(file, records, note) of every change journal that was read: how many records, and a note if the cap cut it."""
+
+    def parse(p: str, b: bytes) -> list[tuple]:
+        found, cut = usn_records(b, cap)
+        return [(p, len(found), f"truncated at {cap} records" if cut else None)]
+
+    return _rows(spark, path, parse, "file string, records long, note string", [pa.string(), pa.int64(), pa.string()]).drop("_ord")
+
+
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, note) of the files that are too large to be read; contents aren't touched."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > MAX_BLOB)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.lit(f"skipped: larger than {MAX_BLOB} bytes").alias("note"))
 
 
 def read_shimcache(spark: SparkSession, path: str) -> DataFrame:
     """AppCompatCache entries of every blob; only an entry marked as executed counts as confirmed."""
-    raw = _rows(spark, path, lambda p, b: [(i, *e) for i, e in enumerate(shimcache_entries(b))], "i long, path string, executed boolean", [pa.int64(), pa.string(), pa.bool_()])
+    raw = _rows(spark, path, lambda p, b: shimcache_entries(b), "path string, executed boolean", [pa.string(), pa.bool_()])
     none = F.lit(None)
     return raw.select(
         F.lit("shimcache").alias("source"), "path", none.cast("timestamp").alias("first_run"), none.cast("timestamp").alias("last_run"), none.cast("bigint").alias("run_count"), none.cast("string").alias("sha1"),
-        none.cast("string").alias("user_sid"), F.col("executed").alias("execution_confirmed"), F.col("i").alias("_ord"),
+        none.cast("string").alias("user_sid"), F.col("executed").alias("execution_confirmed"), "_ord",
     )
 
 
@@ -221,7 +243,7 @@ def read_prefetch(spark: SparkSession, path: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return raw.select(
         F.lit("prefetch").alias("source"), F.col("name").alias("path"), filetime(F.col("first")).alias("first_run"), filetime(F.col("last")).alias("last_run"), F.col("n").alias("run_count"), none.alias("sha1"),
-        none.alias("user_sid"), F.lit(True).alias("execution_confirmed"), F.xxhash64("file").alias("_ord"),
+        none.alias("user_sid"), F.lit(True).alias("execution_confirmed"), "_ord",
     )
 
 
@@ -269,7 +291,10 @@ def read_mft(spark: SparkSession, path: str, resolve: bool = True) -> DataFrame:
     from ..operators.joins import mft_paths
 
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
-    raw = _rows(spark, path, lambda p, b: mft_entries(b), "rec long, name string, parent long, size long, sb long, sm long, fb long, fm long", kinds).withColumn("_ord", F.col("rec"))
+    raw = _rows(spark, path, lambda p, b: mft_entries(b), "rec long, name string, parent long, size long, sb long, sm long, fb long, fm long", kinds)
+    # A table's file is a volume: its number goes above the record numbers, so that volumes don't mix.
+    volume = F.shiftleft(F.shiftright("_ord", 32), 48)
+    raw = raw.withColumn("parent", volume + F.col("parent")).withColumn("rec", volume + F.col("rec"))
     if resolve:
         named = raw.join(mft_paths(raw.select("rec", "name", "parent", "_ord")), "rec", "left")
         where, complete = F.coalesce("path", "name"), F.col("complete")
@@ -283,6 +308,8 @@ def read_mft(spark: SparkSession, path: str, resolve: bool = True) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, cap: int = 256 << 20) -> DataFrame:
-    """(path, sha256, size) of every file up to a size, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= cap)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(path, sha256, size, note) of every file, hashed where it is read; larger ones have no hash and a note."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = files.filter(F.col("length") <= cap).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.lit(None).cast("string").alias("note"))
+    large = files.filter(F.col("length") > cap)
+    return read.unionByName(large.select("path", F.lit(None).cast("string").alias("sha256"), F.col("length").alias("size"), F.lit(f"not hashed: larger than {cap} bytes").alias("note")))

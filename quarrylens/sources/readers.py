@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +12,47 @@ from ..functions import text as t
 from ..functions import values as v
 from ..operators.joins import last_by_key
 from ..schema import FINDING, RECORDS
+from ..storage import shared_folder
+
+
+#: Bytes of a file at most, and so the ordinals that it may use.
+FILE_SPAN = 1 << 40
+
+
+def file_of() -> Column:
+    """The file that a row is read from; a scheme is followed by one slash, as Spark writes it with one or three."""
+    return F.regexp_replace("_metadata.file_path", r"^([\w+.-]+):/+", "$1:/")
+
+
+def file_ranks(rows: DataFrame) -> DataFrame:
+    """(file, rank): the files that rows are read from, in path order; as many narrow rows as files are listed."""
+    files = sorted(re.sub(r"^([\w+.-]+):/+", r"\1:/", f) for f in rows.inputFiles())
+    return rows.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, rank bigint")
 
 
 def with_ordinal(rows: DataFrame) -> DataFrame:
-    """_ord: file by file in path order, row by row within one."""
-    return rows.withColumn("_ord", F.monotonically_increasing_id())
+    """rows, as read from files, with _ord: file by file in path order, row by row within one.
+
+    Spark deals files to tasks by size, so a row's place in its task tells nothing.  A row's ordinal
+    is its file's rank, the place where its split begins and its number in the task, which is
+    smaller than the bytes of the splits before the next one.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    placed = rows.select(*own, file_of().alias("_file"), (F.col("_metadata.file_block_start") + within).alias("_at"))
+    ranks = F.broadcast(file_ranks(rows))  # the list of files is Spark's own, held by the driver
+    return placed.join(ranks, F.col("_file") == F.col("file")).select(*own, (F.col("rank") * FILE_SPAN + F.col("_at")).alias("_ord"))
 
 
 def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Records of one kind from tagged JSON lines; keys that older files lack are null (or their default)."""
-    raw = spark.read.text(path)
+    return _records(with_ordinal(spark.read.text(path)).withColumn("kind", F.get_json_object("value", "$.kind")), kind)
+
+
+def _records(lines: DataFrame, kind: str) -> DataFrame:
+    """Records of one kind from (value, kind, _ord)."""
     ddl = RECORDS[kind].replace("data MAP<STRING,STRING>", "data STRING") if kind == "event" else RECORDS[kind]
-    rows = with_ordinal(raw.select(F.get_json_object("value", "$.kind").alias("kind"), "value")).filter(F.col("kind") == kind)
+    rows = lines.filter(F.col("kind") == kind)
     rows = rows.select(F.from_json("value", ddl, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX]"}).alias("r"), "_ord").select("r.*", "_ord")
     if kind == "event":
         rows = rows.withColumn("data", string_values(F.col("data")))
@@ -35,7 +67,11 @@ def string_values(json: Column) -> Column:
 
 
 def read_all(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {kind: read_records(spark, path, kind) for kind in RECORDS}
+    """The records of every kind.  The lines are read once and kept by kind in the shared folder; a kind reads its own part alone."""
+    parts = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    with_ordinal(spark.read.text(path)).withColumn("kind", F.get_json_object("value", "$.kind")).filter(F.col("kind").isin(*RECORDS)).write.partitionBy("kind").parquet(parts)
+    lines = spark.read.schema("value STRING, _ord BIGINT, kind STRING").parquet(parts)
+    return {kind: _records(lines, kind) for kind in RECORDS}
 
 
 def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -201,6 +237,7 @@ def scheduled_tasks(files: DataFrame, known_files: DataFrame | None = None, env:
         rows = rows.withColumn("known", F.array().cast("array<string>"))
     location = F.when(F.col("uri") != "", F.col("uri")).otherwise(stem)
     leaf = F.nullif(t.base_name(F.col("uri")), F.lit(""))
+    rows = rows.withColumn("_ord", F.col("_ord") * 4096 + F.col("i"))  # each action is an entry of its own
     return _entry(rows, "scheduled_task", location, F.coalesce(leaf, stem), F.col("command"), t.pick_path(F.col("candidates"), F.coalesce("known", F.array().cast("array<string>"))))
 
 
@@ -214,9 +251,11 @@ def _execution(rows: DataFrame, source: str, path: Column, **columns: Column) ->
 
 def amcache(registry: DataFrame, source: str = "amcache", path_names: tuple[str, ...] = ("LowerCaseLongPath", "DriverName"), hash_name: str = "FileId") -> DataFrame:
     """Inventory entries: a key's values side by side; the first path that isn't empty, SHA-1 from the file id."""
-    one = registry.groupBy("hive", "key").agg(F.map_from_entries(F.collect_list(F.struct("name", "data"))).alias("m"), F.max("last_write").alias("last_write"), F.min("_ord").alias("_ord"))
-    path = t.first_non_empty(*(F.element_at("m", n) for n in path_names))
-    return _execution(one.filter(path.isNotNull()), source, path, first_run=F.col("last_write"), sha1=t.sha1_from_file_id(F.element_at("m", hash_name)))
+    # The last of values of one name counts; values without a name, which exports have, are none of these.
+    last = [F.max_by(F.when(F.col("name") == n, F.col("data")), F.when(F.col("name") == n, F.col("_ord"))).alias(f"v{i}") for i, n in enumerate((*path_names, hash_name))]
+    one = registry.groupBy("hive", "key").agg(*last, F.max("last_write").alias("last_write"), F.min("_ord").alias("_ord"))
+    path = t.first_non_empty(*(F.col(f"v{i}") for i in range(len(path_names))))
+    return _execution(one.filter(path.isNotNull()), source, path, first_run=F.col("last_write"), sha1=t.sha1_from_file_id(F.col(f"v{len(path_names)}")))
 
 
 def bam(registry: DataFrame) -> DataFrame:

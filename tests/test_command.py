@@ -6,7 +6,7 @@ from quarrylens.__main__ import main
 def test_run_and_verify(spark, tmp_path):
     lines = [
         {"kind": "process", "pid": 2, "ppid": 1, "image": "C:\\x\\svchost.exe", "cmdline": "", "start_time": "2024-01-01T00:00:00Z"},
-        {"kind": "event", "ts": "2024-01-01T00:00:00Z", "channel": "Security", "event_id": 4720, "computer": "h", "record_id": 5, "data": {"EventID": 4720, "TargetUserName": "a$"}},
+        {"kind": "event", "ts": "2024-01-01T00:00:00Z", "channel": "Security", "event_id": 4720, "computer": "h", "record_id": 5, "data": {"EventID": 4720, "TargetUserName": "anna"}},
     ]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)))
     out = tmp_path / "out"

@@ -5,9 +5,10 @@ import pytest
 from util import at, rows
 
 from quarrylens.functions.values import FILETIME_EPOCH
+from quarrylens.operators import joins
 from quarrylens.plans import analyzers as a
 from quarrylens.plans import pipeline, sigma
-from quarrylens.sinks import manifest, report, timeline
+from quarrylens.sinks import manifest, panels, report, timeline
 from quarrylens.sources import binary, readers
 from quarrylens.streaming.live import failures_ahead, match_stream
 
@@ -206,4 +207,44 @@ def test_streams(spark, tmp_path):
     assert best[at(1, 0, 0)] == 6 and best[at(1, 0, 5)] == 1
 
 
+def test_ordinals_follow_paths_and_lines(spark, tmp_path):
+    """Spark deals large files first; the last record by path and line counts all the same."""
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 1), ("b", 50), ("c d%", 3), ("e", 400)):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(json.dumps({"kind": "process", "pid": 7, "ppid": i, "image": name}) + "\n" for i in range(n)))
+    for got in (readers.read_records(spark, str(tmp_path / "in"), "process"), readers.read_all(spark, str(tmp_path / "in"))["process"]):
+        ordered = [(r.image, r.ppid) for r in got.orderBy("_ord").collect()]
+        assert ordered == [(name, i) for name, n in (("a", 1), ("b", 50), ("c d%", 3), ("e", 400)) for i in range(n)]
+        assert [(r.image, r.ppid) for r in joins.last_by_key(got, "pid").collect()] == [("e", 399)]
+
+
+def test_amcache_of_odd_value_names(spark):
+    rows_ = [("h", "k", None, "x", None, 0), ("h", "k", None, "y", None, 1), ("h", "k", "LowerCaseLongPath", "old", None, 2), ("h", "k", "LowerCaseLongPath", "new", None, 3), ("h", "e", None, None, None, 4)]
+    reg = spark.createDataFrame(rows_, "hive string, key string, name string, data string, last_write timestamp, _ord bigint")
+    assert [(r.path, r.sha1) for r in readers.amcache(reg).collect()] == [("new", None)]
+
+
+def test_volumes_stay_apart_and_notes(spark, tmp_path, monkeypatch):
+    entries = [(v << 48 | rec, name, v << 48 | parent, n) for v, names in enumerate((("one", "f"), ("two", "g"))) for n, (rec, name, parent) in enumerate(((5, ".", 5), (6, names[0], 5), (7, names[1], 6)))]
+    df = spark.createDataFrame(entries, "rec long, name string, parent long, _ord long")
+    got = {r.rec: r.path for r in joins.mft_paths(df).filter("complete").collect()}
+    assert got[7] == "C:\\one\\f" and got[1 << 48 | 7] == "C:\\two\\g"
+    (tmp_path / "small").write_bytes(b"ab")
+    (tmp_path / "zlarge").write_bytes(b"x" * 100)
+    hashes = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size, r.note) for r in binary.file_hashes(spark, str(tmp_path), 50).collect()}
+    assert hashes["small"][0] and hashes["small"][2] is None and hashes["zlarge"] == (None, 100, "not hashed: larger than 50 bytes")
+    monkeypatch.setattr(binary, "MAX_BLOB", 50)
+    assert [(r.size, r.note) for r in binary.skipped_files(spark, str(tmp_path)).collect()] == [(100, "skipped: larger than 50 bytes")]
+
+
+def test_lists_that_are_cut_say_so(spark, monkeypatch):
+    monkeypatch.setattr(report, "LISTED", 2)
+    tb = {"process": rows(spark, "process", *({"pid": i, "ppid": 1, "image": "C:\\x\\svchost.exe", "cmdline": "", "signed": False, "start_time": at(3)} for i in range(5)))}
+    got = pipeline.run(spark, tb, a.Params())
+    page = report.render(got.findings, got.observations, tb, "t")
+    assert f"2 of {got.findings.count()} shown, all are in findings.jsonl" in page and "Processes: 2 of 5 shown, all are in records.jsonl" in page
+    top = panels.top_alerts(got.findings, 3)
+    assert top.count() == 3 and [r.label for r in top.collect()] == sorted(r.label for r in top.collect())
+
+
 assert FT > FILETIME_EPOCH
