@@ -105,9 +105,17 @@ def lolbas_arguments(cmdline: Column) -> Column:
     return contains_any(ascii_lower(cmdline), ("http", "scrobj", "/i:")) | has_base64_run(cmdline)
 
 
+def normalized_path(raw: Column) -> Column:
+    return ascii_lower(F.btrim(F.trim(raw), F.lit('"')))
+
+
 def join_key(raw: Column) -> Column:
     """struct(full, key): the whole normalized path, or a bare name without .exe."""
-    norm = ascii_lower(F.btrim(F.trim(raw), F.lit('"')))
+    return join_key_of(normalized_path(raw))
+
+
+def join_key_of(norm: Column) -> Column:
+    """join_key of a path that is normalized already; best a column, as it is looked at several times."""
     full = F.contains(norm, F.lit("\\")) | F.contains(norm, F.lit("/"))
     return F.struct(full.alias("full"), F.when(full, norm).otherwise(strip_exe(norm)).alias("key"))
 

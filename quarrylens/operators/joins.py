@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import degraded_key, join_key
+from ..functions.text import degraded_key, join_key_of, normalized_path
 from ..storage import checkpointed
 
 
@@ -20,9 +20,9 @@ def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns))
 
 
-def _tier_keys(raw: Column) -> tuple[Column, Column]:
-    """A path's own key and the bare name it falls back to, as tagged text."""
-    k = join_key(raw)
+def _tier_keys(norm: Column) -> tuple[Column, Column]:
+    """A normalized path's own key and the bare name it falls back to, as tagged text."""
+    k = join_key_of(norm)
     return F.concat(F.when(k["full"], "p:").otherwise("n:"), k["key"]), F.concat(F.lit("n:"), degraded_key(k))
 
 
@@ -33,11 +33,11 @@ def two_tier_join(probe: DataFrame, probe_id: str, raw: Column, build: DataFrame
     build rows that are bare names equal to its own base name.  The build side is combined per key
     before the join, so a key that many rows share is one row; the tier is decided per probe row.
     """
-    own, bare = _tier_keys(raw)
-    probes = probe.select(F.col(probe_id), own.alias("_own"), bare.alias("_bare")).filter("_own is not null")
+    # Normalized once, in a projection of its own: inlined into each use, it makes code too large to be compiled.
+    own, name = _tier_keys(F.col("_norm"))
+    probes = probe.select(F.col(probe_id), normalized_path(raw).alias("_norm")).filter("_norm is not null").select(probe_id, own.alias("_own"), name.alias("_bare"))
     probes = probes.select(probe_id, F.inline(F.array(F.struct(F.lit(0).alias("tier"), F.col("_own").alias("_key")), F.struct(F.lit(1).alias("tier"), F.col("_bare").alias("_key")))))
-    key, name = _tier_keys(F.col(path_col))
-    built = build.withColumn("_key", key).filter(name.isNotNull() & (name != "n:"))
+    built = build.withColumn("_norm", normalized_path(F.col(path_col))).withColumn("_bare", name).filter("_bare <> 'n:'").withColumn("_key", own)
     built = built.groupBy("_key").agg(*(c.alias(n) for n, c in aggregates.items()))
     best = probes.join(built, "_key").groupBy(probe_id).agg(F.min_by(F.struct("tier", *aggregates), "tier").alias("b"))
     return best.select(probe_id, *(F.col(f"b.{n}").alias(n) for n in aggregates), (F.col("b.tier") == 1).alias("degraded"))
