@@ -8,7 +8,7 @@ of its 3-grams occurs in no training text of its language.  A cosine rises with
 a long text of any script fills the hashed buckets; the share does not.
 
 Fitting reads a bounded sample of labelled rows (SAMPLE_PER_LANG a language, by a hash of the row);
-their texts become vectors in the executors, and the driver gets those and counts alone.  Prediction
+their texts become vectors and sets of 3-grams in the executors, and the driver gets those alone.  Prediction
 reads every whole text and nothing but the text.
 
 Defined results: a text that is null or has no letter is 'und' with score 0 and rejected; with no
@@ -214,26 +214,28 @@ def fit_on(labelled: DataFrame) -> LanguageModel:
         raw = counts(texts)
         triples = [triple_counts(t) for t in texts]
         at = [np.flatnonzero(r) for r in raw]
-        return [list(map(_has_letter, texts)), at, [r[i] for r, i in zip(raw, at, strict=True)], *([t[i] for t in triples] for i in (0, 1))]
+        return [
+            list(map(_has_letter, texts)), [i.astype("<u2").tobytes() for i in at], [r[i].astype("<f4").tobytes() for r, i in zip(raw, at, strict=True)],
+            *([t[k].astype("<u4").tobytes() for t in triples] for k in (0, 1)),
+        ]
 
-    whole, real = T.ArrayType(T.IntegerType()), T.ArrayType(T.FloatType())
-    made = mapped_texts(rows, ["doc_id", "lang"], "text", [("letters", T.BooleanType()), ("at", whole), ("n", real), ("triples", whole), ("times", whole)], value)
+    names = ("at", "n", "triples", "times")  # as bytes: numbers as objects would take ten times the driver's memory
+    made = mapped_texts(rows, ["doc_id", "lang"], "text", [("letters", T.BooleanType()), *((n, T.BinaryType()) for n in names)], value)
     made = checkpointed(made.filter("letters"))
-    got = sorted(((r.lang, r.doc_id is not None, r.doc_id or 0, r.at, r.n) for r in made.select("lang", "doc_id", "at", "n").collect()))
-    raw = np.zeros((len(got), BUCKETS), dtype=np.float32)
-    for i, r in enumerate(got):
-        raw[i, r[3]] = r[4]
-    # Of each 3-gram value how many texts of a language hold it: 2^KNOWN_BITS rows a language at most.
-    held = made.select("lang", F.explode("triples").alias("v")).groupBy("lang", "v").agg(F.count(F.lit(1)).alias("n"))
-    holders = {r[0]: np.zeros(1 << KNOWN_BITS, dtype=np.int64) for r in got}
-    for r in held.collect():
-        holders[r.lang][r.v] = r.n
-    single = {lang: h < 2 for lang, h in holders.items()}
+    got: list[tuple] = []
+    holders: dict[str, np.ndarray] = {}  # of each 3-gram value how many texts of a language hold it
+    for r in made.select("lang", "doc_id", "at", "n", "triples").toLocalIterator():
+        got.append((r.lang, r.doc_id is not None, r.doc_id or 0, bytes(r.at), bytes(r.n)))
+        holders.setdefault(r.lang, np.zeros(1 << KNOWN_BITS, dtype=np.int32))[np.frombuffer(r.triples, "<u4")] += 1
     shares: dict[str, list[float]] = {lang: [] for lang in holders}
     for r in made.select("lang", "triples", "times").toLocalIterator():
-        times = np.array(r.times)
-        shares[r.lang].append(float(times[single[r.lang][np.array(r.triples, dtype=np.int64)]].sum()) / max(1, int(times.sum())))
-    return LanguageModel.fit(raw, [r[0] for r in got], {lang: (holders[lang] > 0, accepted_share(shares[lang])) for lang in holders})
+        times = np.frombuffer(r.times, "<u4")
+        shares[r.lang].append(float(times[holders[r.lang][np.frombuffer(r.triples, "<u4")] < 2].sum()) / max(1, int(times.sum())))
+    got.sort()
+    raw = np.zeros((len(got), BUCKETS), dtype=np.float32)
+    for i, r in enumerate(got):
+        raw[i, np.frombuffer(r[3], "<u2")] = np.frombuffer(r[4], "<f4")
+    return LanguageModel.fit(raw, [r[0] for r in got], {lang: (h > 0, accepted_share(shares[lang])) for lang, h in holders.items()})
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
