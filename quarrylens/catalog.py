@@ -341,11 +341,6 @@ def _(s, d):
     return rows.select("source", F.col("accounts").cast("bigint").alias("accounts"), "hit_success", "best_us")
 
 
-@query("logon_findings", "event_flat")
-def _(s, d):
-    return a.logon_bruteforce({"event": adapters.event(s, d)}, None, PARAMS, s).select("severity", "title", "mitre", F.size("evidence").alias("n_evidence"))
-
-
 @query("byovd_semi", "execution", f"SELECT _ord AS ord, sha1 FROM execution WHERE source = 'amcache_driver' AND {_in('sha1', PARAMS.driver_hashes)}")
 def _(s, d):
     hashes = s.createDataFrame([(h,) for h in PARAMS.driver_hashes], "sha1 string")
