@@ -12,7 +12,7 @@ from ..functions import text as t
 from ..functions import values as v
 from ..operators.joins import last_by_key
 from ..schema import FINDING, RECORDS
-from ..storage import shared_folder
+from ..storage import checkpointed, shared_folder
 
 
 #: Bytes of a file at most, and so the ordinals that it may use.
@@ -221,14 +221,32 @@ def wmi_subscriptions(bindings: DataFrame, filters: DataFrame, consumers: DataFr
     return _entry(rows, "wmi_subscription", F.col("consumer"), F.col("query"), F.col("command"), binary)
 
 
+def _element(xml: str, tag: str) -> Column:
+    """The trimmed text of the first element of a local name, empty if there is none.
+
+    Parsing a document for each element is most of a task file's cost.  Where no such element has attributes
+    or children and nothing is commented, quoted or referred to by number, its text is what lies between its
+    tags; any other document is parsed.
+    """
+    c, name = F.col(xml), rf"<(?:[^\s<>/:!?]+:)?{tag}"
+    inner = F.regexp_extract(c, name + r">([^<]*)</", 1)
+    named = ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")
+    other = F.contains(c, F.lit("<!")) | F.contains(F.substring(c, 3, 1 << 30), F.lit("<?")) | F.rlike(c, F.lit(name + r"(?:[\s/]|>[^<]*(?:$|<[^/]))")) | F.rlike(inner, F.lit(rf"&(?!(?:{'|'.join(n for n, _ in named)});)|\r"))
+    text = inner
+    for n, sign in named:  # the ampersand last, so that what it makes isn't read again
+        text = F.replace(text, F.lit(f"&{n};"), F.lit(sign))
+    return F.trim(F.when(other, F.expr(f"xpath_string({xml}, 'string(//*[local-name()=\"{tag}\"])')")).otherwise(text))
+
+
 def scheduled_tasks(files: DataFrame, known_files: DataFrame | None = None, env: dict[str, str] | None = None) -> DataFrame:
     """One row an Exec action of task XML files (path, xml, modificationTime, _ord); known_files: (path), to pick binaries by."""
     blocks = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?Exec(?:\s[^>]*)?>(.*?)</(?:\w+:)?Exec>"), F.lit(1))
     rows = files.select("*", F.posexplode(blocks).alias("i", "block")).withColumn("block", F.concat(F.lit("<e>"), F.col("block"), F.lit("</e>")))
-    one = lambda c, tag: F.trim(F.expr(f"xpath_string({c}, 'string(//*[local-name()=\"{tag}\"])')"))
-    rows = rows.withColumns({"command0": one("block", "Command"), "arguments": one("block", "Arguments"), "uri": one("xml", "URI")})
+    rows = rows.withColumns({"command0": _element("block", "Command"), "arguments": _element("block", "Arguments"), "uri": _element("xml", "URI")})
     rows = rows.filter("command0 <> ''").withColumn("command", F.when(F.col("arguments") == "", F.col("command0")).otherwise(F.concat_ws(" ", "command0", "arguments")))
     rows = rows.withColumn("candidates", t.path_candidates(t.expand_env(F.col("command"), env or {}))).withColumn("last_write", F.col("modificationTime"))
+    # Read once: both sides of the join below, and each filter that is pushed down, would read the files again.
+    rows = checkpointed(rows.select("_ord", "i", "path", "last_write", "command", "uri", "candidates"))
     stem = F.regexp_replace(t.base_name(F.col("path")), r"\.xml$", "")
     if known_files is not None:  # only the candidates that exist are looked up, not the whole list
         seen = rows.select("_ord", "i", F.explode("candidates").alias("path")).join(known_files.select("path").distinct(), "path", "left_semi")

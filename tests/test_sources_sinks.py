@@ -2,6 +2,7 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from util import at, rows
 
 from quarrylens.functions.values import FILETIME_EPOCH
@@ -248,3 +249,13 @@ def test_lists_that_are_cut_say_so(spark, monkeypatch):
 
 
 assert FT > FILETIME_EPOCH
+
+
+def test_task_elements_are_read_as_xpath_reads_them(spark):
+    inner = ["<Command>a b</Command>", "<t:Command> x &amp;lt; &lt;y </t:Command>", "<Command/>", '<Command a="1">q</Command>', "<!-- <Command>no</Command> --><Command>yes</Command>", "<Command><![CDATA[c&d]]></Command>"]
+    inner += ["<Command>a<b>c</b>d</Command>", "<Command>&#65;b</Command>", "", "<Commands>z</Commands><Command>w</Command><Command>v</Command>", "<?p <Command>n</Command>?><Command>k</Command>", "<Command>a\r\nb</Command>", "<Command></Command><Command>2</Command>", "<Command >s</Command>"]
+    df = spark.createDataFrame([(f"<e>{x}</e>",) for x in inner], "block string")
+    parsed = F.trim(F.expr("""xpath_string(block, 'string(//*[local-name()="Command"])')"""))
+    assert [r for r in df.select("block", readers._element("block", "Command").alias("got"), parsed.alias("want")).collect() if r.got != r.want] == []
+    loose = spark.createDataFrame([("<e><br><Command>a</Command></e>",)], "block string")  # no parser reads this: it isn't parsed
+    assert loose.select(readers._element("block", "Command").alias("c")).first().c == "a"
