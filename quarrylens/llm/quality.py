@@ -6,8 +6,12 @@ difference of their features learns one weight a bin, and a document's raw score
 sum.  The decision threshold is the quantile of raw scores below which, by the labelled rows'
 shares, the bad ones should lie; scores are scaled so that it maps to THRESHOLD.
 
-Fitting reads a bounded sample of labelled rows (SAMPLE_PER_CLASS a class, by a hash of the id);
-scoring reads every whole text and nothing but the text.
+Fitting reads every labelled row and counts every pair.  A row becomes 20 levels (2 bytes a
+feature), which stay distributed; bins, gradients and thresholds are sums over them, so the driver
+gets arrays whose size doesn't depend on the number of rows.  The loss of a pair depends on the
+difference of two scores alone: weights are kept on a grid, scores are then whole cells of it, and
+the counts of good and bad rows a cell give the gradient of all pairs without listing any.  The
+last Newton step leaves the grid.  Scoring reads every whole text and nothing but the text.
 
 Defined results: a null text counts as an empty one, which is scored like any other; rows with a
 null or repeated doc_id are scored on their own; labels that are null are ignored, an id with
@@ -20,18 +24,25 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, checkpointed, few, filtered_texts, fold, mapped_texts, table
+from .common import checkpointed, filtered_texts, fold, mapped_texts, python_ready, table
 from .text import code_points
 
-SAMPLE_PER_CLASS = 4_000
-PAIRS = 60_000
 BINS = 8
+#: Up to so many labels are broadcast to the texts; more meet the texts' levels in a shuffle of narrow rows.
+BROADCAST_LABELS = 200_000
+#: Tasks of a pass over the labelled rows' levels, each of which sends one array to the driver.
+PARTS = 8
+#: Cells of a histogram of scores; joint counts of cell and bin, for the curvature alone, take WIDE cells at a time.
+CELLS, WIDE = 2048, 16
+STEPS = 12
 THRESHOLD = 0.7
 L2 = 1e-3
 FEATURES = (
@@ -89,37 +100,166 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, share_bad: float, seed: int = 7) -> QualityModel:
+    def fit(cls, x: np.ndarray, y: np.ndarray, share_bad: float) -> QualityModel:
         """x: features, y: labels 0/1, share_bad: share of label 0 among all labelled rows."""
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        blank = cls(np.zeros((len(FEATURES), BINS)), np.zeros(len(FEATURES) * (BINS + 1)), 0.0, 0.0)
-        if not len(good) or not len(bad):
-            return blank
-        half = np.concatenate([x[good[: len(bad)]], x[bad[: len(good)]]])
-        model = cls(np.quantile(half, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T.copy(), blank.weights, 0.0, 1.0)
-        hot = model.binned(x)
-        rng = np.random.default_rng(seed)
-        d = hot[rng.choice(good, PAIRS)] - hot[rng.choice(bad, PAIRS)]
-        w = np.zeros(hot.shape[1])
-        for _ in range(12):  # Newton steps on the mean logistic loss of the differences
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            grad = -(d.T @ p) / PAIRS + L2 * w
-            hess = (d.T * (p * (1 - p))) @ d / PAIRS + L2 * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        model.weights = w
-        s = hot @ w
-        mass = np.where(y == 1, (1 - share_bad) / len(good), share_bad / len(bad))
-        order = np.argsort(s, kind="stable")
-        below = np.cumsum(mass[order])
-        at = int(np.searchsorted(below, share_bad - 1e-12))
-        nxt = min(at + 1, len(s) - 1)
-        model.centre = float((s[order[at]] + s[order[nxt]]) / 2)
-        spread = float(np.median(s[good]) - np.median(s[bad]))
-        model.scale = 8.0 / spread if spread > 1e-9 else 0.0
-        return model
+        rows = levels(x)
+        return fit_by(lambda part: part(rows, y), share_bad)
+
+
+#: Levels are the leading bits of a feature's value, from 2^-20 (below that: 0) to 2^12, 2,048 a power of two.
+_SHIFT, _LEAST = np.uint64(41), (1023 - 20) << 11
+
+
+def levels(x: np.ndarray) -> np.ndarray:
+    """The level of each value, rounded down."""
+    bits = np.ascontiguousarray(x, dtype=np.float64).view(np.uint64) >> _SHIFT
+    return np.clip(bits.astype(np.int64) - _LEAST, 0, 65535).astype(np.uint16)
+
+
+def level_value(level: np.ndarray) -> np.ndarray:
+    """The least value of each level."""
+    bits = (level.astype(np.int64) + _LEAST).astype(np.uint64) << _SHIFT
+    return np.where(level == 0, 0.0, bits.view(np.float64))
+
+
+#: Sums part(levels, labels) over all portions of the labelled rows.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _reached(mass: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The first cell at which the summed mass reaches each share."""
+    return np.minimum(np.searchsorted(np.cumsum(mass), shares - 1e-12), len(mass) - 1)
+
+
+def _edges(total: Total, n: np.ndarray) -> np.ndarray:
+    """Of each feature the levels at its BINS quantiles, both classes having equal mass: leading bytes first, then the second ones under those."""
+    k, shares = len(FEATURES), np.linspace(0, 1, BINS + 2)[1:-1]
+
+    def leading(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = (y[:, None] * k + np.arange(k)) * 256 + (rows >> 8)
+        return np.bincount(at.ravel(), minlength=2 * k * 256).astype(float)
+
+    mass = (total(leading).reshape(2, k, 256) / (2 * n[:, None, None])).sum(0)
+    high = np.array([_reached(m, shares) for m in mass])
+
+    def second(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, BINS, 2 * 256))
+        for j in range(k):
+            for q in range(BINS):
+                own = (rows[:, j] >> 8) == high[j, q]
+                out[j, q] = np.bincount(y[own] * 256 + (rows[own, j] & 255), minlength=2 * 256)
+        return out.ravel()
+
+    below = np.cumsum(mass, 1)
+    low = (total(second).reshape(k, BINS, 2, 256) / (2 * n[:, None])).sum(2)
+    out = np.zeros((k, BINS), dtype=np.uint16)
+    for j in range(k):
+        for q in range(BINS):
+            before = below[j, high[j, q] - 1] if high[j, q] else 0.0
+            out[j, q] = high[j, q] * 256 + _reached(low[j, q], shares[q : q + 1] - before)[0]
+    return out
+
+
+def _weights(total: Total, n: np.ndarray, bins: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Newton steps on the mean logistic loss of all pairs; bins: levels -> columns of the weights, one a feature."""
+    k, width = len(FEATURES), len(FEATURES) * (BINS + 1)
+    coarse = CELLS // WIDE + 2
+    w = np.zeros(width)
+    for _ in range(STEPS):
+        spans = w.reshape(k, BINS + 1)
+        span = float((spans.max(1) - spans.min(1)).sum())
+        unit = 2.0 ** math.ceil(math.log2(max(span, 1e-3) / (CELLS - 2 * k)))
+        grid = np.round(w / unit).astype(np.int64)
+        low = int(grid.reshape(k, BINS + 1).min(1).sum())
+
+        def histogram(rows: np.ndarray, y: np.ndarray, grid: np.ndarray = grid, low: int = low) -> np.ndarray:
+            cell = grid[bins(rows)].sum(1) - low
+            return np.bincount(y * CELLS + cell, minlength=2 * CELLS).astype(float)
+
+        bad, good = total(histogram).reshape(2, CELLS) / n[:, None]
+        lost = 1 / (1 + np.exp(np.clip(unit * (np.arange(CELLS)[:, None] - np.arange(CELLS)), -30, 30)))  # of a good cell against a bad one
+        bend = lost * (1 - lost)
+        # of a row in a cell: its share of the gradient and of the curvature, by label
+        pull = np.stack([lost.T @ good, -(lost @ bad)]) / n[:, None]
+        curve = np.stack([bend.T @ good, bend @ bad]) / n[:, None]
+
+        def sums(rows: np.ndarray, y: np.ndarray, grid: np.ndarray = grid, low: int = low, pull: np.ndarray = pull, curve: np.ndarray = curve) -> np.ndarray:
+            at = bins(rows)
+            cell = grid[at].sum(1) - low
+            grad = np.bincount(at.ravel(), np.repeat(pull[y, cell], k), minlength=width)
+            hess = np.zeros((width, width))
+            for i in range(0, len(at), 4096):
+                hot = np.zeros((len(at[i : i + 4096]), width))
+                np.put_along_axis(hot, at[i : i + 4096], 1.0, axis=1)
+                hess += (hot * curve[y[i : i + 4096], cell[i : i + 4096], None]).T @ hot
+            joint = np.bincount((((y * coarse + cell // WIDE) * width)[:, None] + at).ravel(), minlength=2 * coarse * width)
+            return np.concatenate([grad, hess.ravel(), joint])
+
+        got = total(sums)
+        grad = got[:width] + L2 * unit * grid
+        joint = got[width + width * width :].reshape(2, coarse, width) / n[:, None, None]
+        gap = unit * WIDE * (np.arange(coarse)[:, None] - np.arange(coarse))
+        p = 1 / (1 + np.exp(np.clip(gap, -30, 30)))
+        cross = joint[1].T @ (p * (1 - p)) @ joint[0]
+        hess = got[width : width + width * width].reshape(width, width) - cross - cross.T
+        step = np.linalg.solve(hess + L2 * np.eye(width), grad)
+        w = unit * grid - step
+        if np.abs(step).max() < 2 * unit:
+            break
+    return w
+
+
+def _score_quantiles(total: Total, n: np.ndarray, raw: Callable[[np.ndarray], np.ndarray], low: float, high: float, asked: list[tuple[np.ndarray, float]]) -> list[float]:
+    """For each (mass of a row by label, share) the score that parts the rows of so large a share from the others: cells first, then cells within those."""
+    wide = max(high - low, 1e-9) * (1 + 1e-9) / CELLS
+
+    def first(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        cell = np.clip((raw(rows) - low) / wide, 0, CELLS - 1).astype(np.int64)
+        return np.bincount(y * CELLS + cell, minlength=2 * CELLS).astype(float)
+
+    counts = total(first).reshape(2, CELLS)
+    masses = [(mass[:, None] * counts).sum(0) for mass, _ in asked]
+    at = [int(_reached(m, np.array([share]))[0]) for m, (_, share) in zip(masses, asked, strict=True)]
+
+    def within(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        place = (raw(rows) - low) / wide
+        cell = np.clip(place, 0, CELLS - 1).astype(np.int64)
+        out = []
+        for c in at:
+            own = cell == c
+            fine = np.clip((place[own] - c) * CELLS, 0, CELLS - 1).astype(np.int64)
+            out.append(np.bincount(y[own] * CELLS + fine, minlength=2 * CELLS).astype(float))
+        return np.concatenate(out)
+
+    fine = total(within).reshape(len(asked), 2, CELLS)
+    out = []
+    for i, (mass, share) in enumerate(asked):
+        m = (mass[:, None] * fine[i]).sum(0)
+        here = int(_reached(m, np.array([share - masses[i][: at[i]].sum()]))[0])
+        later = np.flatnonzero(m[here + 1 :])
+        cut = here + 1 + (float(later[0]) / 2 if len(later) else 0.0)
+        out.append(low + wide * (at[i] + cut / CELLS))
+    return out
+
+
+def fit_by(total: Total, share_bad: float) -> QualityModel:
+    """The model of all labelled rows, of which only sums over portions are asked for."""
+    k = len(FEATURES)
+    blank = QualityModel(np.zeros((k, BINS)), np.zeros(k * (BINS + 1)), 0.0, 0.0)
+    n = total(lambda rows, y: np.bincount(y, minlength=2).astype(float))
+    if not n.all():
+        return blank
+    cuts = _edges(total, n)
+
+    def bins(rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(cuts[j], rows[:, j], side="right") + j * (BINS + 1) for j in range(k)], axis=1)
+
+    w = _weights(total, n, bins)
+    spans = w.reshape(k, BINS + 1)
+    of_bad, of_good = np.array([1 / n[0], 0.0]), np.array([0.0, 1 / n[1]])
+    asked = [(share_bad * of_bad + (1 - share_bad) * of_good, share_bad), (of_bad, 0.5), (of_good, 0.5)]
+    centre, bad, good = _score_quantiles(total, n, lambda rows: w[bins(rows)].sum(1), float(spans.min(1).sum()), float(spans.max(1).sum()), asked)
+    return QualityModel(level_value(cuts), w, centre, 8.0 / (good - bad) if good - bad > 1e-9 else 0.0)
 
 
 def feature_rows(texts: list[str | None]) -> np.ndarray:
@@ -127,16 +267,37 @@ def feature_rows(texts: list[str | None]) -> np.ndarray:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows of docs."""
+    """Fit on all labelled rows of docs."""
     labels = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     shares = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
-    sample = checkpointed(bounded_sample(labels, "quality", SAMPLE_PER_CLASS, F.xxhash64("doc_id")))
-    rows = docs.select("doc_id", "text").join(few(sample, 4 * SAMPLE_PER_CLASS), "doc_id")
-    x = mapped_texts(rows, ["doc_id", "quality"], "text", [("x", T.ArrayType(T.DoubleType()))], lambda texts: [feature_rows(texts).tolist()])
+    made = [("x", T.BinaryType())]  # big-endian, so that their order is that of the features
+
+    def value(texts: list[str | None]) -> list[list]:
+        return [[r.tobytes() for r in levels(feature_rows(texts)).astype(">u2")]]
+
+    rows = docs.select("doc_id", "text")
+    if sum(shares.values()) <= BROADCAST_LABELS:
+        x = mapped_texts(rows.join(F.broadcast(labels), "doc_id"), ["doc_id", "quality"], "text", made, value)
+    else:
+        x = mapped_texts(rows, ["doc_id"], "text", made, value).join(labels, "doc_id")
     x = x.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # one row an id and label, however often the id occurs
-    got = sorted((r.doc_id, r.quality, tuple(r.x)) for r in x.collect())
-    bad = shares.get(0, 0) / max(1, sum(shares.values()))
-    return QualityModel.fit(np.array([r[2] for r in got], dtype=float).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=int), bad)
+    x = checkpointed(x.select("quality", "x")).coalesce(PARTS)
+    python_ready(docs.sparkSession)
+
+    def total(part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                y = b.column(0).to_numpy().astype(np.int64)
+                got = part(np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, len(FEATURES)).astype(np.uint16), y)
+                held = got if held is None else held + got
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["sums"])
+
+        none = np.zeros((0, len(FEATURES)), dtype=np.uint16), np.zeros(0, dtype=np.int64)
+        return sum((np.frombuffer(r.sums) for r in x.mapInArrow(run, "sums binary").collect()), part(*none))
+
+    return fit_by(total, shares.get(0, 0) / max(1, sum(shares.values())))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str = "text") -> DataFrame:

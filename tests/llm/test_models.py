@@ -176,6 +176,21 @@ def test_quality_repeated_labels_and_ids(spark, sf_dir):
     assert np.allclose(plain.weights, twice.weights) and np.isclose(plain.centre, twice.centre)
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """9,300 labelled rows, more of one class than any sample held; broadcast or joined as levels, the fit of all of them at once."""
+    texts = [" ".join(f"{'word' * (i % 3 + 1)}{i * j % 7}" for j in range(i % 11 + 3)) + "." * (i % 4) for i in range(9_000)] + ["# | " * (i % 9 + 1) + "a b C " * (i % 5) for i in range(300)]
+    y = [1] * 9_000 + [0] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    want = quality.QualityModel.fit(quality.feature_rows(texts), np.array(y), 300 / 9_300)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LABELS", limit, raising=False)
+        got = quality.fit_on(docs, labels)
+        assert np.array_equal(got.edges, want.edges) and np.allclose(got.weights, want.weights)
+        assert np.isclose(got.centre, want.centre) and np.isclose(got.scale, want.scale)
+        assert int((got.raw(quality.feature_rows(texts)) < got.centre).sum()) in range(295, 306)
+
+
 # ---- main text ------------------------------------------------------------------------------
 
 
