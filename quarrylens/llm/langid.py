@@ -33,6 +33,8 @@ from .text import code_points, letter_table
 #: Training rows a language, at most about: a bound on what the driver holds.
 SAMPLE_PER_LANG = 800
 CENTROIDS_PER_LANG = 4
+#: Portions in which the driver gets what it learns from.
+PARTS = 8
 BUCKETS = 1 << 12
 #: Code points turned into n-grams at a time.
 PIECE = 1 << 19
@@ -106,8 +108,11 @@ def accepted_share(alone: Iterable[float]) -> float:
 
 
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(c) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(c)
+    x *= idf
+    for at in range(0, len(x), 256):  # no whole copy of x besides x
+        x[at : at + 256] /= np.maximum(np.linalg.norm(x[at : at + 256], axis=1, keepdims=True), 1e-12)
+    return x
 
 
 class LanguageModel:
@@ -221,7 +226,7 @@ def fit_on(labelled: DataFrame) -> LanguageModel:
 
     names = ("at", "n", "triples", "times")  # as bytes: numbers as objects would take ten times the driver's memory
     made = mapped_texts(rows, ["doc_id", "lang"], "text", [("letters", T.BooleanType()), *((n, T.BinaryType()) for n in names)], value)
-    made = checkpointed(made.filter("letters"))
+    made = checkpointed(made.filter("letters")).coalesce(PARTS)  # an iterator is a job a partition
     got: list[tuple] = []
     holders: dict[str, np.ndarray] = {}  # of each 3-gram value how many texts of a language hold it
     for r in made.select("lang", "doc_id", "at", "n", "triples").toLocalIterator():

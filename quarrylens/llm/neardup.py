@@ -53,6 +53,8 @@ PROMISING = 0.66
 SMALL_BUCKET, BLOCK, BLOCK_CHARS = 24, 1024, 16 << 20
 #: Keys with more rows are joined apart (their narrow side is broadcast), hubs with more pairs spread.
 HOT = 1024
+#: Tasks of a round over few edges.
+PARTS = 8
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -208,17 +210,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among an id's neighbours and itself and then the label of
     that label, so the number of rounds is logarithmic in a component's width.  Labels stay
     distributed; where they are few they are broadcast, and a round is one combined aggregate.
+    Where the edges are few too, a round has PARTS tasks: the driver keeps a record of each task.
     """
-    pairs = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", F.col("a"))).union(edges.select("b", F.col("b"))).toDF("a", "b")
-    both = checkpointed(pairs.distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")))
+    ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]
+    both = checkpointed(edges.select(F.inline(F.array(*ends))).distinct())
+    in_parts = (lambda df: df.coalesce(PARTS)) if both.count() <= BROADCAST_ROWS else (lambda df: df)
+    both = in_parts(both)
+    labels = checkpointed(in_parts(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class"))))
     few = labels.count() <= BROADCAST_ROWS
     while True:
         side = F.broadcast(labels) if few else labels
         near = both.join(side.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id"))
         step = near.agg(F.min("class").alias("class"), F.min(F.when(F.col("a") == F.col("b"), F.col("class"))).alias("old"))
         jump = side.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        new = checkpointed(step.join(jump, "class").select("id", "old", F.least("class", "far").alias("class")))
+        new = checkpointed(in_parts(step.join(jump, "class").select("id", "old", F.least("class", "far").alias("class"))))
         changed = not new.filter("old <> class").isEmpty()
         labels = new.select("id", "class")
         if not changed:

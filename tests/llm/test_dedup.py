@@ -282,3 +282,22 @@ def test_repeated_and_null_ids_in_the_report(spark, monkeypatch):
     # Every row is the next one of exactly one: over each ring the first quarters that edits take are those of all rows.
     nexts = fingerprint.with_next(fingerprint._folded(df)).collect()
     assert Counter((r.next_id, r.next_text) for r in nexts) == Counter((r.doc_id, r.text) for r in nexts)
+
+
+def test_rounds_over_few_edges_have_few_tasks(spark):
+    """A chain, a star and a loop under 60 shuffle partitions: right classes, and no stage of 60 tasks a round."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
+    df, sc = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        sc.setJobGroup("rounds", "")
+        got = {r[0]: r[1] for r in neardup.components(df).collect()}
+        stages = {i for j in sc.statusTracker().getJobIdsForGroup("rounds") for i in sc.statusTracker().getJobInfo(j).stageIds}
+        wide = [i for i in stages if (info := sc.statusTracker().getStageInfo(i)) and info.numTasks >= 60 and info.numCompletedTasks]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sc._jsc.clearJobGroup()
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200}
+    assert len(wide) <= 4, wide

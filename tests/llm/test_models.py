@@ -108,6 +108,29 @@ def test_language_ties_repeats_and_many_labels(spark, sf_dir):
         langid.fit_on(spark.range(1200).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang"))
 
 
+def test_language_fit_spares_the_driver(spark, sf_dir):
+    """Jobs don't grow with the partitions; weights make no whole copies of the vectors besides one."""
+    import tracemalloc
+
+    docs, sc = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        sc.setJobGroup("language fit", "")
+        langid.fit_on(docs)
+        assert len(sc.statusTracker().getJobIdsForGroup("language fit")) < 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sc._jsc.clearJobGroup()
+    raw = np.random.default_rng(0).random((2_000, langid.BUCKETS), dtype=np.float32)
+    tracemalloc.start()
+    got = langid.weighted(raw, raw[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * raw.nbytes and np.allclose(np.linalg.norm(got, axis=1), 1, atol=1e-5)
+
+
 def test_kmeans_and_grams():
     x = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2, 3]]
     assert len({tuple(c) for c in langid.spherical_kmeans(x, 4, 0).round(3).tolist()}) == 4
